@@ -9,7 +9,7 @@ from memlode.llm.split import HEADING, LINE, PARAGRAPH, RangeMax, SENTENCE, boun
 def rebuilt(data, pieces):
     out, done = b"", 0
     for a, b in pieces:
-        assert a <= done < b
+        assert a <= done < b or not data
         out += data[max(a, done):b]
         done = b
     return out
