@@ -110,6 +110,9 @@ def split_text(text: str, max_bytes: int, overlap_bytes: int, min_fill: float =
         least = max(start + int(limit * min_fill), done + 1)
         cut = strongest(least, start + limit) or strongest(max(start + 2 * overlap, done) + 1, start + limit)
         cut = cut or character(start + limit, done)
+        if cut - start > limit:  # the next character doesn't fit behind the overlap
+            start = done
+            continue
         pieces.append((start, cut))
         done = cut
         if overlap:
