@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import split
+from memlode.llm import neardup, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.where(F.col("n_pieces") > 1).select("id").distinct()
 
 
+def live_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "memories").where(F.col("deleted_at").isNull())
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of live memories of similarity 0.7 or more."""
+    return neardup.id_pairs(live_memories(spark, sf_dir), similarity="0.7")
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live memory with its class, its number of links and its group."""
+    return neardup.near_duplicates(live_memories(spark, sf_dir), similarity="0.7")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
 
 
 def oracle_sql() -> dict[str, str]:
