@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import neardup, split
+from memlode.llm import knn, neardup, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,26 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(live_memories(spark, sf_dir), similarity="0.7")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of live memories of cosine 0.9 or more, one among the 5 most similar of the other."""
+    near = knn.knn(live_memories(spark, sf_dir), k=5, min_similarity=0.9)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar live memories of those whose id, read as a hexadecimal number, is divisible by 100."""
+    live = live_memories(spark, sf_dir)
+    # 16^n mod 100 is 76 for n = 5, 10, ...; the last 15 digits are a whole number below 2^60
+    low = F.conv(F.right("id", F.lit(15)), 16, 10).cast("long")
+    high = F.left("id", F.length("id") - 15)
+    middle, top = F.conv(F.right(high, F.lit(15)), 16, 10).cast("long"), F.conv(F.left(high, F.greatest(F.length(high) - 15, F.lit(0))), 16, 10).cast("long")
+    value = low % 100 + 76 * (F.coalesce(middle, F.lit(0)) % 100) + 76 * (F.coalesce(top, F.lit(0)) % 100)
+    asking = live.where(value % 100 == 0).select("id")
+    return knn.knn(live, k=5, asking=asking, relax=2.0)
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
