@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import knn, neardup, split
+from memlode.llm import history, knn, neardup, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,8 +57,19 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn(live, k=5, asking=asking, relax=2.0)
 
 
+def p5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every incoming record, accepted or refused: all batches against all memories and what was accepted before."""
+    index = history.HistoryIndex(spark, "0.7").build(table(spark, sf_dir, "memories"))
+    return index.ingest(table(spark, sf_dir, "incoming_memories"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming records whose content is in memories or was accepted from an earlier record."""
+    return p5_decisions(spark, sf_dir).where(~F.col("accepted")).select("id").distinct()
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions}
 
 
 def oracle_sql() -> dict[str, str]:
