@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import history, knn, neardup, split
+from memlode.llm import history, knn, mixing, neardup, packing, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_decisions(spark, sf_dir).where(~F.col("accepted")).select("id").distinct()
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of one beyond 4,096 tokens, with its container."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containers with what they hold and the room that is left."""
+    packed = p6_pack(spark, sf_dir).groupBy("container").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    return packed.withColumn("room", 4096 - F.col("tokens"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the largest mix in which every source with documents reaches its share."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).documents
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted and the reached share of each source in that mix."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions, "p6_pack": p6_pack, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares}
 
 
 def oracle_sql() -> dict[str, str]:
