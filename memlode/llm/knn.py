@@ -179,30 +179,36 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
         node_stack += [n for n in (node.near, node.far) if n is not None]
     reach = fitted if min_similarity is None else None
 
-    def send(asks: bool):
+    def send(lives: bool, asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = matrix(batch.column("v"), dims)
-                margin, floor = None, np.full(len(x), -2.0 if min_similarity is None else min_similarity, dtype="f4")
+                home = np.full(len(x), -1, dtype="i8")
+                for leaf, at in route(root, x, None):
+                    home[at] = leaf
+                floor, targets = np.full(len(x), -2.0 if min_similarity is None else min_similarity, dtype="f4"), [(leaf, np.flatnonzero(home == leaf)) for leaf in np.unique(home)]
                 if asks:
                     if reach is not None and len(reach) > k + 1:  # the k-th of a sample is never nearer than the k-th of all
                         for part in np.array_split(np.arange(len(x)), -(-len(x) // 256)):
                             floor[part] = np.partition(x[part] @ reach.T, -(k + 1), axis=1)[:, -(k + 1)] - np.float32(1e-5)
-                    margin = (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)) + EPS) / relax
-                for leaf, at in route(root, x, margin):
+                    targets = route(root, x, (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)) + EPS) / relax)
+                for leaf, at in targets:  # the shard where a vector lives gets one row for both roles
                     got = batch.select(["key", "v"]).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, dtype="i4")), pa.array(np.full(len(at), asks)), pa.array(floor[at]), *got.columns], names=["shard", "asks", "floor", "key", "v"])
+                    roles = [pa.array(np.full(len(at), leaf, dtype="i4")), pa.array((home[at] == leaf) & lives), pa.array(np.full(len(at), asks)), pa.array(floor[at])]
+                    yield pa.RecordBatch.from_arrays([*roles, *got.columns], names=["shard", "lives", "asks", "floor", "key", "v"])
 
         return run
 
-    schema = "shard int, asks boolean, floor float, key binary, v binary"
-    sent = points.mapInArrow(send(False), schema).unionByName(asking.mapInArrow(send(True), schema))
+    schema = "shard int, lives boolean, asks boolean, floor float, key binary, v binary"
+    if asking is points:
+        sent = points.mapInArrow(send(True, True), schema)
+    else:
+        sent = points.mapInArrow(send(True, False), schema).unionByName(asking.mapInArrow(send(False, True), schema))
 
     def shard(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        p, a = t.filter(pa.array(~asks)), t.filter(pa.array(asks))
+        p, a = t.filter(t.column("lives")), t.filter(t.column("asks"))
         if p.num_rows and a.num_rows:
             keys = p.column("key").to_pylist()
             at = {key: i for i, key in enumerate(keys)}
@@ -218,7 +224,7 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
     return ranked.where(F.col("_r") <= k).drop("_r")
 
 
-def knn(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", dims: int = 64, k: int = 5, min_similarity: float | None = None, asking: DataFrame | None = None, relax: float = 8.0, shard_rows: int = 8192, fit_rows: int = 20_000) -> DataFrame:
+def knn(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", dims: int = 64, k: int = 5, min_similarity: float | None = None, asking: DataFrame | None = None, relax: float = 8.0, shard_rows: int = 16_384, fit_rows: int = 20_000) -> DataFrame:
     """(id, neighbour, similarity, rank): the k rows of the most similar vectors of every row (or of the ids of asking).
 
     With min_similarity, of those at least as similar. Cosine is the similarity; equals are ranked by id. Vectors that
