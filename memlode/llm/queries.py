@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import history, knn, mixing, neardup, packing, split
+from memlode.llm import history, knn, mixing, neardup, packing, spam, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,8 +89,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its measures, its robust distance and whether it is spam."""
+    return spam.spam_scores(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-stuffed pages, link lists and tag lists."""
+    return p8_scores(spark, sf_dir).where("spam").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions, "p6_pack": p6_pack, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions, "p6_pack": p6_pack, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
 
 
 def oracle_sql() -> dict[str, str]:
