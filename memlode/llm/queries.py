@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlode.llm import history, knn, mixing, neardup, packing, spam, split
+from memlode.llm import history, knn, mixing, neardup, packing, pii, spam, split
 from memlode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,17 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.knn(live, k=5, asking=asking, relax=2.0)
 
 
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every memory with typed placeholders for personal data, and the kinds found."""
+    memories = table(spark, sf_dir, "memories")
+    return pii.redact(memories, pii.fit(memories, table(spark, sf_dir, "given_names")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of personal data of each memory, once."""
+    return p4_redacted(spark, sf_dir).select("id", F.explode("kinds").alias("kind")).distinct()
+
+
 def p5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every incoming record, accepted or refused: all batches against all memories and what was accepted before."""
     index = history.HistoryIndex(spark, "0.7").build(table(spark, sf_dir, "memories"))
@@ -100,7 +111,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p5_found": p5_found, "p5_decisions": p5_decisions, "p6_pack": p6_pack, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
+    return {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_decisions": p5_decisions, "p6_pack": p6_pack, "p6_containers": p6_containers, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
 
 
 def oracle_sql() -> dict[str, str]:
