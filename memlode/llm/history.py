@@ -35,7 +35,7 @@ class HistoryIndex:
 
     def build(self, history: DataFrame, text: str = "content") -> "HistoryIndex":
         """The first run, of all texts of history. It also fixes the order of words, which stays valid for all later batches."""
-        found = classes(features(history.select(text), (), text))
+        found = classes(features(history.select(F.col(text).alias("_text")), (), "_text"))
         self.ranges = self.ranges or partitions(found, 8)
         sets = self._keep_sets(found)
         self.order = word_order(sets, self.frequent)
@@ -91,11 +91,12 @@ class HistoryIndex:
         give the same. Records that are null or without words resemble nothing and are accepted, but not indexed. A row
         repeated in all of order_by counts once; an empty batch gives an empty table.
         """
+        names, order_by = order_by, tuple(f"_o{i}" for i in range(len(order_by)))
         at = F.struct(*order_by)
-        records = batches.select(*order_by, text).dropDuplicates([*order_by])
-        feats = cut(features(records, order_by, text))
+        records = batches.select(*(F.col(c).alias(o) for c, o in zip(names, order_by)), F.col(text).alias("_text")).dropDuplicates([*order_by])
+        feats = cut(features(records, order_by, "_text"))
         first = feats.groupBy("key").agg(F.min(at).alias("first"))
-        new = feats.join(first, "key").where(at == F.col("first")).drop("first")
+        new = feats.join(first, "key").where(at.eqNullSafe(F.col("first"))).drop("first")
         old = self.sets()
         if old is not None:
             new = new.join(old.select("key"), "key", "left_anti")
@@ -138,7 +139,7 @@ class HistoryIndex:
             return left.alias("r").join(right.alias("x"), on, "left").select("r.*", f"x.{flag}")
 
         marked = match(match(records.select(*order_by), accepted, "accepted"), indexed, "indexed")
-        return marked.select(*order_by, (F.coalesce("accepted", F.lit(False)) | F.col("indexed").isNull()).alias("accepted"))
+        return marked.select(*(F.col(o).alias(c) for c, o in zip(names, order_by)), (F.coalesce("accepted", F.lit(False)) | F.col("indexed").isNull()).alias("accepted"))
 
 
 def refused(edges: DataFrame) -> DataFrame:

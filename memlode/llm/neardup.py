@@ -138,9 +138,10 @@ def candidates(sorted_postings: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def prepare(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members (key, id), word sets) of the texts; a row repeated under its id counts once."""
-    feats = cut(features(rows.select(id_col, text), (id_col,), text))
-    return feats.select("key", F.col(id_col).alias("id")).distinct(), cut(classes(feats))
+    """(members (key, id), word sets) of the texts; a row repeated under its id counts once, rows without an id not at all."""
+    picked = rows.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull())
+    feats = cut(features(picked, ("_id",), "_text"))
+    return feats.select("key", F.col("_id").alias("id")).distinct(), cut(classes(feats))
 
 
 def links(sets: DataFrame, similarity: float | str = 0.8, frequent: int = 65_536, hot: int = 4096) -> DataFrame:
