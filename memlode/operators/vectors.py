@@ -43,7 +43,8 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, vector: str, dims
                 # ties at the edge: all that reach the k-th score go on
                 edge = np.take_along_axis(s, top, 1).min(axis=1)
                 i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s) & (s > (floor if floor is not None else -np.inf)))
-                part = pa.table({"qid": pa.array([ids[a] for a in i], pa.from_numpy_dtype("i8") if names == "bigint" else pa.string()), "id": pa.array([own[b] for b in j], pa.from_numpy_dtype("i8") if names == "bigint" else pa.string()), "score": s[i, j]})
+                kind = batch.schema.field("id").type
+                part = pa.table({"qid": pa.array([ids[a] for a in i], kind), "id": pa.array([own[b] for b in j], kind), "score": s[i, j]})
                 kept = part if kept is None else pa.concat_tables([kept, part])
             if kept is not None:
                 yield from kept.to_batches()

@@ -49,7 +49,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_notes(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(file, category, content): Markdown notes with the category of their front matter, else of their text."""
-    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     front = front_matter(F.col("value"))
     body = F.trim(F.regexp_replace("value", r"^---\n[\s\S]*?\n---\n?", ""))
     named = front_matter_category(front)
@@ -58,7 +58,7 @@ def read_notes(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(file, content): rule files with name, description, body and front matter; those that never close it are skipped."""
-    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mdc").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mdc").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     docs = docs.where(~F.col("value").startswith("---") | F.col("value").rlike(r"^---\n[\s\S]*?\n---"))
     meta = front_matter_map(front_matter(F.col("value")))
     name = F.regexp_extract("file", r"([^/]+)\.mdc$", 1)
