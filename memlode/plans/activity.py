@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlode.functions.text import LOW_PREFIXES, NOISE
+from memlode.functions.text import ACCENTED, LOW_PREFIXES, NOISE, PLAIN, normalize_accents
 from memlode.functions.tokenizer import load, tokenize
+from memlode.functions.embed import HashingEmbedder, from_cache
+from memlode.functions.words import words
+from memlode.operators import context as C
 from memlode.operators import sessions as S
 from memlode.operators import store
 from memlode.plans.catalog import register
@@ -141,3 +144,64 @@ def token_windows(spark, d):
     """Ids, mask and types of the first 126 tokens of every document, by the word-level vocabulary of its own words."""
     vocabulary = load({"model": {"type": "WordPiece", "vocab": {w: i for i, w in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz0123456789", *("##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789")])}, "unk_token": "[UNK]"}, "normalizer": {"type": "BertNormalizer", "lowercase": True, "strip_accents": True}, "pre_tokenizer": {"type": "BertPreTokenizer"}})
     return table(spark, d, "documents").select("doc_id", tokenize(vocabulary, F.col("text")).alias("t")).select("doc_id", "t.*")
+
+
+LIVE = "(SELECT DISTINCT ON (id) * FROM memories WHERE deleted_at IS NULL)"
+
+
+@register(f"SELECT project_id, category, list(id ORDER BY r) AS ids FROM (SELECT project_id, category, id, row_number() OVER (PARTITION BY project_id, category ORDER BY updated_at DESC NULLS LAST, id) AS r FROM {LIVE} WHERE project_id IS NOT NULL) WHERE r <= 3 GROUP BY ALL")
+def essential_summary(spark, d):
+    rows = store.once(store.live(table(spark, d, "memories").select("id", "project_id", "category", "updated_at", "deleted_at")))
+    return C.essential_summary(rows)
+
+
+@register(f"""WITH r AS (SELECT project_id AS qid, id, category, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS rank FROM {LIVE} WHERE project_id IS NOT NULL),
+      t AS (SELECT *, row_number() OVER (PARTITION BY qid, category ORDER BY rank, id) AS turn FROM r)
+    SELECT qid, id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn, rank, id) AS place FROM t) WHERE place <= 10""")
+def balanced_categories(spark, d):
+    from pyspark.sql.window import Window
+
+    rows = store.once(store.live(table(spark, d, "memories").select("id", "project_id", "category", "created_at", "deleted_at"))).where("project_id is not null")
+    ranked = rows.select(F.col("project_id").alias("qid"), "id", "category", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), "id")).alias("rank"))
+    return C.balanced(ranked, 10).select("qid", "id", "place")
+
+
+WORDS_OF = f"SELECT DISTINCT unnest(regexp_extract_all(translate(lower({{}}), '{ACCENTED}', '{PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')) AS word FROM {{}}"
+
+
+@register(f"""WITH v AS ({WORDS_OF.format('name', 'projects')}), q AS ({WORDS_OF.format('title', 'sessions')})
+    SELECT q.word, v.word AS correction FROM q JOIN v ON levenshtein(q.word, v.word) <= 1 WHERE q.word NOT IN (SELECT word FROM v)""")
+def fuzzy_corrections(spark, d):
+    """Words of session titles, without accents, that are one edit from a word of a project name."""
+    plain = lambda c: F.explode(words(normalize_accents(F.lower(c)))).alias("word")
+    return C.corrections(table(spark, d, "sessions").select(plain("title")), table(spark, d, "projects").select(plain("name")))
+
+
+@register(f"""SELECT id, format('{{}}. [{{}}] {{}} (score={{:.3f}})', rank, category, left(trim(replace(content, chr(10), ' '), ' '), 120) || CASE WHEN length(trim(replace(content, chr(10), ' '), ' ')) > 120 THEN '...' ELSE '' END, 1.0 / (3 * rank)) AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, id) AS rank FROM {LIVE})""")
+def result_lines(spark, d):
+    from pyspark.sql.window import Window
+
+    rows = store.once(store.live(table(spark, d, "memories").select("id", "source", "category", "content", "created_at", "deleted_at")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("created_at"), "id")))
+    return rows.select("id", C.result_line(F.col("rank"), F.col("category"), F.col("content"), F.lit(1.0) / (3 * F.col("rank"))).alias("line"))
+
+
+@register("""WITH c AS (SELECT sha256(content) AS h, max(len(embedding)) AS n FROM memories WHERE embedding IS NOT NULL AND content IS NOT NULL GROUP BY 1)
+    SELECT DISTINCT i.batch_no, i.seq_no, c.n IS NOT NULL AS hit FROM incoming_memories i LEFT JOIN c ON c.h = sha256(i.content)""")
+def embedding_cache_hits(spark, d):
+    rows = table(spark, d, "incoming_memories").select(F.struct("batch_no", "seq_no").alias("key"), "content").distinct()
+    cache = table(spark, d, "memories").where("embedding is not null and content is not null").select(F.sha2("content", 256).alias("text_hash"), F.lit("given").alias("model"), "embedding", "created_at")
+    return from_cache(rows, cache, "key", "content", "given").select("id.batch_no", "id.seq_no", F.col("embedding").isNotNull().alias("hit"))
+
+
+@register()
+def embed_documents(spark, d):
+    return HashingEmbedder(64).embed(table(spark, d, "documents"), "doc_id", "text")
+
+
+@register("SELECT source, count(*) AS found, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known) AS imported FROM (SELECT DISTINCT i.batch_no, i.seq_no, i.id, i.source, EXISTS (SELECT 1 FROM memories m WHERE sha256(m.content) = sha256(i.content)) AS known FROM incoming_memories i) GROUP BY source")
+def import_totals(spark, d):
+    known = table(spark, d, "memories").select(F.sha2("content", 256).alias("h")).distinct().withColumn("known", F.lit(True))
+    rows = table(spark, d, "incoming_memories").select("batch_no", "seq_no", "id", "source", F.sha2("content", 256).alias("h")).distinct().join(known, "h", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("found"), F.count_if(F.col("known").isNotNull()).alias("skipped"), F.count_if(F.col("known").isNull()).alias("imported"))
