@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +28,15 @@ FLOOR = 0.05
 #: The 0.999 quantile of chi-squared with six degrees of freedom (fixed value).
 CHI2_6_999 = 22.458
 
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 URL = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]|,;]+|(?<![\w@/.-])(?:[a-z0-9-]+\.)+[a-z]{2,12}/[^\s<>"')\]|,;]*""", re.I)
 PRICE = re.compile(r"(?:[$€£¥]|R\$|US\$)\s?\d|\d[\d.,]*\s?(?:€|£|EUR\b|USD\b|BRL\b)|\b(?:SKU|EAN|GTIN|art\.|ref\.?|réf\.?)\s?[#:]?\s?[A-Z]{0,3}-?\d", re.I)
 HASHTAG = re.compile(r"(?<!\w)#\w*[^\W\d]")
-TECHNICAL = re.compile(r"""[_/\\{}=\[\]<>"`$│├└]|::|\w\(|^\d{4}-\d\d-\d\d|^[0-9a-f]{7,8}$|^\d+(?:\.\d+)?m?s$""")
+#: What makes a token technical: a sign of code or paths, or the form of a call, a date, a hash or a duration.
+SIGNS = frozenset("_/\\{}=[]<>\"`$│├└")
+TECHNICAL = re.compile(r"::|\w\(|^\d{4}-\d\d-\d\d|^[0-9a-f]{7,8}$|^\d+(?:\.\d+)?m?s$")
+#: One of these is in every price or article number; looking for them is quicker than the pattern.
+PRICE_SIGNS = ("$", "€", "£", "¥", "sku", "ean", "gtin", "art.", "ref", "réf", "eur", "usd", "brl")
 ANCHOR = re.compile(r"""<a\s[^>]*href\s*=\s*["']?([^"'>\s]+)[^>]*>""", re.I)
 ELEMENT = re.compile(r"</?[a-z][^>]{0,400}>", re.I)
 LINES = re.compile(r"[\n\r  ]+")
@@ -49,6 +52,16 @@ FUNCTION_WORDS = {
 ALL_FUNCTION_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 
 
+def technical_token(token: str) -> bool:
+    # the forms begin with a digit or a hexadecimal letter or hold a bracket or a colon
+    return not SIGNS.isdisjoint(token) or ((token[0] in "0123456789abcdef" or "(" in token or ":" in token) and TECHNICAL.search(token) is not None)
+
+
+def priced(text: str) -> bool:
+    low = text.lower()
+    return any(sign in low for sign in PRICE_SIGNS) and PRICE.search(text) is not None
+
+
 def language(counts: Counter, declared: str | None) -> str:
     """The language whose function words are most frequent, if clearly ahead of the declared one's; else that one or 'und'."""
     said = (declared or "").strip().lower()[:2]
@@ -61,45 +74,47 @@ def language(counts: Counter, declared: str | None) -> str:
 
 def measure(text: str, declared: str | None = None) -> tuple[str, int, tuple[float, ...]]:
     """Language, number of words and MEASURES of a text, over all of it."""
-    text = ELEMENT.sub(" ", ANCHOR.sub(r" \1 ", text))
+    text = ELEMENT.sub(" ", ANCHOR.sub(r" \1 ", text)) if "<" in text else text
     total = technical = 0
     parts, pairs, bags, words = [], Counter(), Counter(), Counter()
     for line in LINES.split(text):
         tokens = line.split()
         if not tokens:
             continue
-        linked = URL.search(line) is not None
-        if not linked and not PRICE.search(line):
-            odd = sum(1 for x in tokens if TECHNICAL.search(x))
+        linked = ("/" in line or "www." in line.lower()) and URL.search(line) is not None
+        if not linked and not priced(line):
+            odd = sum(map(technical_token, tokens))
             if odd >= 0.25 * len(tokens):
-                inside = [x.lower() for x in WORD.findall(line)]
+                inside = WORD.findall(line.lower())
                 if odd >= 0.5 * len(tokens) or len(ALL_FUNCTION_WORDS.intersection(inside)) < 2:
                     total += len(inside)
                     technical += len(inside)
                     continue
         for piece in SEGMENTS.split(line):
-            all_ = len(WORD.findall(piece))
+            body = WORD.findall(piece.lower())
+            all_ = len(body)
             if not all_:
                 continue
             total += all_
-            body = [x.lower() for x in WORD.findall(URL.sub(" ", piece) if linked else piece)]
-            grammar = ALL_FUNCTION_WORDS.intersection(body)
-            parts.append((piece, all_, body, len(grammar), linked and len(body) < all_))
+            if linked:
+                body = WORD.findall(URL.sub(" ", piece).lower())
+            grammar = len(ALL_FUNCTION_WORDS.intersection(body))
             words.update(body)
-            for a, b in zip(body, body[1:]):
-                pairs[(a, b) if a < b else (b, a)] += 1
+            if grammar >= 2 and len(body) >= 6:  # a sentence, of which only a price counts
+                if priced(piece):
+                    parts.append((piece, all_, body, grammar, False, True))
+                continue
+            parts.append((piece, all_, body, grammar, linked and len(body) < all_, False))
+            pairs.update([(a, b) if a < b else (b, a) for a, b in zip(body, body[1:])])
             bags[tuple(sorted(body))] += 1
     # what counts as often in a text of some lines is no chance in one of many
     often = 2 if sum(words.values()) < 120 else max(3, len(words) // 100)
     links = goods = repeats = fragments = 0
-    for piece, all_, body, grammar, linked in parts:
-        sentence = grammar >= 2 and len(body) >= 6
-        if linked and not sentence:
+    for piece, all_, body, grammar, linked, sentence in parts:
+        if linked:
             links += all_
-        elif PRICE.search(piece) or (not sentence and HASHTAG.search(piece)):
+        elif sentence or priced(piece) or ("#" in piece and HASHTAG.search(piece)):
             goods += all_
-        elif sentence:
-            continue
         else:
             items = piece.split(",")
             if len(items) >= 5 and sum(len(WORD.findall(x)) <= 3 for x in items) >= 0.8 * len(items):
