@@ -120,4 +120,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT c.id FROM content_chunks c JOIN split_limits l ON l.content_type = c.content_type
             WHERE strlen(c.content) > l.max_bytes
         """,
+        "p2_found": """
+            WITH m AS (SELECT DISTINCT ON (id) id, content FROM memories WHERE deleted_at IS NULL),
+            w AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'))) AS w FROM m),
+            n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+            o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 10 * o >= 7 * (x.n + y.n - o)
+        """,
+        "p3_found": """
+            WITH m AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS v FROM memories WHERE deleted_at IS NULL AND len(embedding) = 64),
+            u AS (SELECT * FROM m WHERE NOT list_bool_or(list_transform(v, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+            s AS (SELECT a.id AS q, b.id AS p, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, p) AS r FROM s WHERE s >= 0.9)
+            SELECT DISTINCT least(q, p) AS id_a, greatest(q, p) AS id_b FROM r WHERE r <= 5
+        """,
     }
