@@ -81,16 +81,23 @@ def pack_sizes(items: DataFrame, capacity: int, *, open_bins: int = 64, items_pe
     def dealt(df: DataFrame, n: int) -> DataFrame:
         return df.withColumn("task", F.pmod(F.xxhash64("item"), F.lit(n)))
 
-    packed = cut(dealt(items.select("item", "part", F.col("size").cast("long")), tasks).groupBy("task").applyInArrow(fill, f"item {name}, part int, size long, container string, used long"))
+    filled = f"item {name}, part int, size long, container string, used long"
+    packed = cut(dealt(items.select("item", "part", F.col("size").cast("long")), tasks).groupBy("task").applyInArrow(fill, filled))
+    # only the containers still open go on to the next level, and one small table says where they ended
+    still = lambda df: df.where("used is not null").groupBy("container").agg(F.first("used").alias("size"))
+    left = still(packed)
+    moved = left.select("container", F.col("container").alias("to"))
     level = 0
     while tasks > 1:
         level += 1
-        left = packed.where("used is not null").groupBy("container").agg(F.first("used").alias("size"))
-        # a power of fewer tasks, and at least the open bins of two tasks in each
+        # a fraction of the tasks, with at least the open containers of two in each
         tasks = -(-tasks * open_bins // max(items_per_task, 2 * open_bins))
-        again = dealt(left.select(F.col("container").alias("item"), F.lit(0).alias("part"), "size"), tasks).groupBy("task").applyInArrow(fill, "item string, part int, size long, container string, used long")
-        again = again.select(F.col("item").alias("container"), F.concat(F.lit(f"m{level}-"), "container").alias("_to"), F.col("used").alias("_used"))
-        packed = cut(packed.join(again, "container", "left").select("item", "part", "size", F.coalesce("_to", "container").alias("container"), F.when(F.col("_to").isNotNull(), F.col("_used")).alias("used")))
+        again = dealt(left.select(F.col("container").alias("item"), F.lit(0).alias("part"), "size"), tasks).groupBy("task").applyInArrow(fill, filled.replace(f"item {name}", "item string"))
+        again = cut(again.select("item", F.concat(F.lit(f"m{level}-"), "container").alias("container"), "used"))
+        moved = cut(moved.join(again.select(F.col("item").alias("to"), F.col("container").alias("_next")), "to", "left").select("container", F.coalesce("_next", "to").alias("to")))
+        left = still(again)
+    if level:
+        packed = packed.join(moved, "container", "left").withColumn("container", F.coalesce("to", "container"))
     return packed.select("item", "part", "size", "container")
 
 
