@@ -168,7 +168,7 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
     """(q, p, similarity): of every key of asking the k most similar other keys of points. Both are (key, v), keys unique."""
     total = points.count()
     rate = min(1.0, fit_rows / max(1, total))
-    sample = points.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("v").limit(2 * fit_rows)
+    sample = points.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(rate * (1 << 40)) + 1).select("v").limit(2 * fit_rows)
     fitted = matrix(sample.toArrow().column("v"), dims) if total else np.zeros((0, dims), dtype="f4")
     wanted = max(1, min(-(-total // shard_rows), len(fitted) // 16))
     root, _ = plant(fitted, leaves=wanted)

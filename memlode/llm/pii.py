@@ -342,7 +342,7 @@ def fit(rows: DataFrame, given_names: DataFrame, *, text: str = "content", name:
     total = picked.count()
     rate = min(1.0, 1.2 * sample_rows / max(1, total))
     if rate < 1:
-        picked = picked.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(rate * (1 << 20)))
+        picked = picked.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(rate * (1 << 40)))
     texts = sorted({r["t"] for r in picked.limit(sample_rows).collect()})
     names = [r[0] for r in given_names.select(name).where(F.col(name).isNotNull()).limit(1_000_000).collect()]
     return train(texts, names)
