@@ -120,11 +120,15 @@ def redact_secrets(text: Column) -> Column:
 
 
 def categorize(text: Column) -> Column:
-    """The category of the first pattern found, else fact; null for null. Word edges are those of ASCII words."""
-    out = F.lit("fact")
+    """The category of the first pattern found in lower case, else fact; null for null. Word edges are those of ASCII words."""
+    # every pattern begins with a word character at its first edge, so that looking back is enough there
+    begin, end = r"(?<![a-z0-9_])", r"(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))"
+    low, out = F.lower(text), F.lit("fact")
     for pattern, category in reversed(CATEGORIES):
-        edged = pattern.replace("<", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))").replace(">", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
-        out = F.when(text.rlike("(?iu)" + edged), F.lit(category)).otherwise(out)
+        expression = pattern.replace("R\\$|BRL", "r\\$|brl").replace("<", begin, 1)
+        head, *rest = expression.split(">", 1)
+        expression = head + end + rest[0].replace("<", begin).replace(">", end) if rest else head
+        out = F.when(low.rlike(expression), F.lit(category)).otherwise(out)
     return F.when(text.isNotNull(), out)
 
 

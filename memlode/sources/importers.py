@@ -103,12 +103,14 @@ def ingest(rows: DataFrame, *, source: str, text: str = "content", project: str
     Blank texts give no row; a category that is given stays. One row a project and content.
     """
     clean = redact_secrets(F.trim(F.regexp_replace(F.regexp_replace(F.col(text), r"^\s+", ""), r"\s+$", "")))
-    out = rows.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).withColumn("_c", clean).where("_c <> ''")
+    out = rows.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).withColumn("_c", clean)
     given = F.nullif(F.col("category"), F.lit("")) if "category" in rows.columns else F.lit(None).cast("string")
     where = F.col(project) if project else F.lit(None).cast("string")
     out = out.select(where.alias("project_id"), F.coalesce(given, categorize(F.col("_c"))).alias("category"), F.col("_c").alias("content"), F.lit(source).alias("source"), created.alias("created_at"))
     out = out.withColumn("content_hash", content_hash(F.col("content")))
     out = out.groupBy("project_id", "content_hash").agg(*(F.min_by(c, F.struct("created_at", "category")).alias(c) for c in ("category", "content", "source")), F.min("created_at").alias("created_at"))
+    # after the aggregate, so that no filter repeats the redaction
+    out = out.where("content <> ''")
     return out.withColumn("id", F.left(F.sha2(F.concat_ws("\u0001", F.coalesce("project_id", F.lit("")), "content_hash"), 256), F.lit(32)))
 
 
