@@ -31,6 +31,7 @@ _LOCAL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*"
 MAIL = regex.compile(rf"(?<![\p{{L}}\p{{N}}._%+\-@/])({_LOCAL}){_AT}((?:[\p{{L}}\p{{N}}\-]+{_DOT})+){_TLD}(?![\p{{L}}\p{{N}}\-]|\.\p{{L}})", regex.I)
 NUMBER = regex.compile(r"(?<![\p{L}\p{N}_./\-+])(?:\+|\(\+?)?\p{Nd}(?:[\p{Nd}()]|[   .\-/](?=[\p{Nd}(])|\)[ .\-]?(?=\p{Nd}))*(?:[ \-]?[A-Z](?![\p{L}\p{N}]))?(?![\p{L}\p{N}_]|[\-/.:]\p{N}?\p{L}{2})")
 LETTERED = regex.compile(r"(?<![\p{L}\p{N}_./\-])\p{Lu}{1,2}-?\p{Nd}{6,9}(?:[ \-]?\p{Lu})?(?![\p{L}\p{N}_])")
+INSURANCE = regex.compile(r"(?<![\p{L}\p{N}_./\-])\p{Lu}{2}[ \-]?(?:\p{Nd}{6}|\p{Nd}{2}([ \-])\p{Nd}{2}\1\p{Nd}{2})(?:[ \-]?(\p{Lu}))?(?![\p{L}\p{N}_])")
 _CAP = r"\p{Lu}[\p{Ll}\p{M}]+(?:['’]\p{Lu}?[\p{Ll}\p{M}]+)?(?:-\p{Lu}[\p{Ll}\p{M}]+)*"
 _PARTICLE = r"(?:(?:de|da|do|das|dos|del|della|di|du|la|le|van|von|der|den|ter|bin|al|el|y|e)\s){0,2}"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Dra|Drs|Prof|Profa|Sr|Sra|Srta|Mme|Mlle|Me|Don|Doña|Dona|Señora?|Senhora?|Monsieur|Madame|Mx)"
@@ -124,29 +125,37 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
         proper = regex.search(r"\p{L}{3,}", value) is not None
         city = "," in value or regex.search(r"\d{5}", value) is not None
         add(m.start(), m.end(), ADDRESS, ["place", f"city={city}", f"box={box}", f"city={city},{before[-1] if before else '^'}", *context], [w.lower() for w in WORD.findall(value) if len(w) > 4], ADDRESS if city and proper else None)
-    for pattern in (LETTERED, NUMBER):
+    for pattern in (INSURANCE, LETTERED, NUMBER):
         for m in pattern.finditer(plain):
             if not free(m):
                 continue
             value = m[0].strip()
             digits = sum(c.isdigit() for c in value)
-            if digits < 7 or digits > 16:
+            before, after, context = _context(plain, m.start(), m.end())
+            near = set(before)
+            # two letters, six digits and a letter need no word before them; other forms of fewer than seven digits do
+            insured = pattern is INSURANCE and m[2] is not None
+            if digits > 16 or (digits < 7 and not insured and not near & ID_NEAR):
                 continue
             if regex.fullmatch(r"\d{4}-\d\d-\d\d(?:[ T/].*)?|(?:\d{1,3}\.){3}\d{1,3}|\d{1,3}(?:[.,]\d{3})+", value) and not regex.fullmatch(r"\d{3}\.\d{3}\.\d{3}", value):
                 continue
-            before, after, context = _context(plain, m.start(), m.end())
-            near = set(before)
             shape = regex.sub(r"\d+", lambda d: str(len(d[0])), regex.sub(r"[\s ]+", "_", value))
             shape = regex.sub(r"\p{Lu}", "A", shape)
             loose = regex.sub(r"[.\-_/]+", "~", shape)
             lead = "+" if value[0] == "+" or value.startswith("(+") else "0" if value[0] == "0" else "(" if value[0] == "(" else "d"
             f = ["number", f"shape={shape}", f"loose={loose}", f"n={digits}", f"lead={lead}", f"lead={lead},n={digits}", f"bare={value.isdigit()}", *context]
+            if insured:
+                f.append("insured")
             for w in near:
                 f += [f"w={w}"]
             kinds = [name for name, ws in (("id", ID_NEAR), ("phone", PHONE_NEAR), ("other", OTHER_NEAR)) if near & ws]
             f += [f"near={k}" for k in kinds]
             sure = ID if "id" in kinds else NONE if "other" in kinds and lead != "+" else PHONE if lead == "+" or "phone" in kinds else None
-            if sure is None and value.isdigit() and lead == "d":
+            if sure is None and insured and m[2] in "ABCD":
+                sure = ID
+            if digits < 7 and pattern is NUMBER:  # a word alone does not make a short number sure
+                sure = None
+            elif sure is None and value.isdigit() and lead == "d":
                 sure = NONE
             add(m.start(), m.end(), PHONE, f, [regex.sub(r"\D", "", value)], sure)
     at = 0

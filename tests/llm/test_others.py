@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from memlode.llm import knn, mixing, packing, pii, spam
@@ -169,6 +170,16 @@ def test_kinds_and_placeholders(spark, corpus):
     assert pii.redact(df, empty).count() == len(rows)
 
 
+def test_insurance_numbers_are_found(corpus):
+    forms = ["NINO QQ {:02d} 57 90 A", "QQ {:02d}6246 A", "QQ{:02d}8984C", "NI no. QQ-{:02d}-85-14-D"]
+    rows = [f"The form logged {f.format(k)} in clear, see GU-7770{k} and build {k}1234." for k in range(10, 20) for f in forms]
+    model = pii.train(corpus + rows, GIVEN)
+    for text, marks in zip(rows, model.label(rows)):
+        assert [(text[a:b].removeprefix("NINO "), pii.LABELS[k]) for a, b, k in marks] == [(regex.search(r"QQ[\d -]+[A-D]", text)[0], "id_number")]
+    # short numbers are candidates beside an id word only
+    assert [s.end - s.start for s in pii.spans("dni AB 123456 and passport 123456, then we ran step 123456", frozenset())] == [9, 6]
+
+
 def test_repeated_spans_agree():
     scores = np.array([[0.0, 0, 0, 0, 0, 3.0], [0.4, 0, 0, 0, 0, 0.0]])
     pair = np.zeros((2, 6, 6))
