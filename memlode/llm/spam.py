@@ -35,10 +35,14 @@ HASHTAG = re.compile(r"(?<!\w)#\w*[^\W\d]")
 #: What makes a token technical: a sign of code or paths, or the form of a call, a date, a hash or a duration.
 SIGNS = frozenset("_/\\{}=[]<>\"`$│├└")
 TECHNICAL = re.compile(r"::|\w\(|^\d{4}-\d\d-\d\d|^[0-9a-f]{7,8}$|^\d+(?:\.\d+)?m?s$")
+#: The share of function words a sentence has at least; about 0.3 is usual.
+SENTENCE_SHARE = 0.12
 #: One of these is in every price or article number; looking for them is quicker than the pattern.
 PRICE_SIGNS = ("$", "€", "£", "¥", "sku", "ean", "gtin", "art.", "ref", "réf", "eur", "usd", "brl")
 ANCHOR = re.compile(r"""<a\s[^>]*href\s*=\s*["']?([^"'>\s]+)[^>]*>""", re.I)
 ELEMENT = re.compile(r"</?[a-z][^>]{0,400}>", re.I)
+#: Tags that end a line of the page.
+BREAK = re.compile(r"</?(?:br|li|p|tr|ul|ol|div|table|h[1-6])\b[^>]{0,400}>", re.I)
 LINES = re.compile(r"[\n\r  ]+")
 SEGMENTS = re.compile(r"[|;•·]+|\s\*\s|\s-\s|\s//\s|(?<=[.!?:])\s+")
 
@@ -62,6 +66,17 @@ def priced(text: str) -> bool:
     return any(sign in low for sign in PRICE_SIGNS) and PRICE.search(text) is not None
 
 
+def is_sentence(body: list[str], links: int) -> bool:
+    """Whether a piece is one: enough of its words are function words, it is no list of links and doesn't repeat itself."""
+    n = len(body)
+    if n < 6 or len(ALL_FUNCTION_WORDS.intersection(body)) < 2 or sum(w in ALL_FUNCTION_WORDS for w in body) < SENTENCE_SHARE * n:
+        return False
+    if links > 1 and n < 8 * links:
+        return False
+    pairs = Counter(zip(body, body[1:])) if n >= 24 else {}
+    return sum(c for c in pairs.values() if c >= 3) <= 0.5 * n
+
+
 def language(counts: Counter, declared: str | None) -> str:
     """The language whose function words are most frequent, if clearly ahead of the declared one's; else that one or 'und'."""
     said = (declared or "").strip().lower()[:2]
@@ -74,7 +89,7 @@ def language(counts: Counter, declared: str | None) -> str:
 
 def measure(text: str, declared: str | None = None) -> tuple[str, int, tuple[float, ...]]:
     """Language, number of words and MEASURES of a text, over all of it."""
-    text = ELEMENT.sub(" ", ANCHOR.sub(r" \1 ", text)) if "<" in text else text
+    text = ELEMENT.sub(" ", BREAK.sub("\n", ANCHOR.sub(r" \1 ", text))) if "<" in text else text
     total = technical = 0
     parts, pairs, bags, words = [], Counter(), Counter(), Counter()
     for line in LINES.split(text):
@@ -96,15 +111,17 @@ def measure(text: str, declared: str | None = None) -> tuple[str, int, tuple[flo
             if not all_:
                 continue
             total += all_
+            n_links = 0
             if linked:
-                body = WORD.findall(URL.sub(" ", piece).lower())
+                rest, n_links = URL.subn(" ", piece)
+                body = WORD.findall(rest.lower())
             grammar = len(ALL_FUNCTION_WORDS.intersection(body))
             words.update(body)
-            if grammar >= 2 and len(body) >= 6:  # a sentence, of which only a price counts
+            if is_sentence(body, n_links):  # of which only a price counts
                 if priced(piece):
                     parts.append((piece, all_, body, grammar, False, True))
                 continue
-            parts.append((piece, all_, body, grammar, linked and len(body) < all_, False))
+            parts.append((piece, all_, body, grammar, n_links > 0 and len(body) <= 24 * n_links, False))
             pairs.update([(a, b) if a < b else (b, a) for a, b in zip(body, body[1:])])
             bags[tuple(sorted(body))] += 1
     # what counts as often in a text of some lines is no chance in one of many

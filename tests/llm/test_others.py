@@ -210,3 +210,17 @@ def test_spam_and_its_likes(spark):
     assert {r.doc_id for r in out if r.spam} == {900, 901, 902, 903}
     assert len(out) == len(normal) + len(odd) - 2 + 1
     assert spam.spam_scores(df.limit(0)).count() == 0
+
+
+def test_long_pieces_are_no_sentences_by_two_words():
+    def directed(text):
+        return sum(spam.measure(text, "fr")[2][:4])
+
+    links = [f"https://go.site{k}.example/a/page{k}" for k in range(40)]
+    one_line = " ".join(f"{u} hébergement pas cher #tag{k} pour" for k, u in enumerate(links))
+    broken = "<br>".join(f'{{"t":"serveur pas cher d\'{k}","u":"{u}"}}' for k, u in enumerate(links))
+    stuffed = "server for the best memory and search " * 30
+    assert min(map(directed, (one_line, broken, stuffed))) > 0.8
+    assert spam.measure("alpha<br>beta<li>gamma</li>", "en")[2] == spam.measure("alpha\nbeta\ngamma", "en")[2]
+    explained = f"Voir {links[0]} et {links[1]} pour la description du stockage, qui est dans le dossier de la page et ne change pas avec une version plus récente."
+    assert max(map(directed, (explained, PROSE * 40))) == 0
