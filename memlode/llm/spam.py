@@ -2,7 +2,7 @@
 
 Every text is measured by the shares of its words in bare links, in product data or tags, in repeated phrases and in loose
 fragments, by its share of function words and by the entropy of its words. Per language, the centre and the scatter of all
-texts are estimated robustly (medians, then concentration steps over the nearest three quarters). A text is spam if its
+texts, copies once, are estimated robustly (medians, then concentration steps over the nearest half). A text is spam if its
 robust distance is beyond the quantile and its deviation lies along the first four measures for the greater part of its words.
 """
 
@@ -27,6 +27,9 @@ SPAM_DIRECTED = MEASURES[:4]
 FLOOR = 0.05
 #: The 0.999 quantile of chi-squared with six degrees of freedom (fixed value).
 CHI2_6_999 = 22.458
+#: By which the scatter of the nearest half of a normal population in six dimensions is too small: 0.5 / P(chi-squared of eight
+#: degrees < median of chi-squared of six) (fixed value).
+HALF_CONSISTENCY = 1.785
 
 WORD = re.compile(r"[^\W_]+")
 URL = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]|,;]+|(?<![\w@/.-])(?:[a-z0-9-]+\.)+[a-z]{2,12}/[^\s<>"')\]|,;]*""", re.I)
@@ -156,16 +159,16 @@ def measure(text: str, declared: str | None = None) -> tuple[str, int, tuple[flo
 
 
 def measures(rows: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
-    """(id, language, words, MEASURES) of the texts that have a word."""
-    picked = rows.select(F.col(id_col).alias("id"), F.col(text).alias("_t"), F.col(lang).alias("_l")).where(F.col("_t").isNotNull())
-    schema = f"id {picked.schema['id'].dataType.simpleString()}, language string, words long, " + ", ".join(f"{m} double" for m in MEASURES)
+    """(id, language, words, MEASURES, _copy) of the texts that have a word; copies have the same _copy."""
+    picked = rows.select(F.col(id_col).alias("id"), F.col(text).alias("_t"), F.col(lang).alias("_l"), F.xxhash64(text).alias("_c")).where(F.col("_t").isNotNull())
+    schema = f"id {picked.schema['id'].dataType.simpleString()}, language string, words long, _copy long, " + ", ".join(f"{m} double" for m in MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [measure(t, said) for t, said in zip(batch.column("_t").to_pylist(), batch.column("_l").to_pylist())]
             values = np.array([g[2] for g in got], dtype="f8").reshape(-1, len(MEASURES))
-            cols = [batch.column("id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), *(pa.array(values[:, i]) for i in range(len(MEASURES)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "language", "words", *MEASURES])
+            cols = [batch.column("id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), batch.column("_c"), *(pa.array(values[:, i]) for i in range(len(MEASURES)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "language", "words", "_copy", *MEASURES])
 
     return picked.mapInArrow(run, schema).where("words > 0")
 
@@ -183,10 +186,11 @@ def squared_distance(fit: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
     return out
 
 
-def robust_fit(measured: DataFrame, steps: int = 3, keep: float = 0.75) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def robust_fit(measured: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centre and inverse scatter of each language (there are at most five), from all rows.
 
-    It starts from medians; each concentration step takes mean and scatter of the `keep` rows nearest to the last fit. Only
+    It starts from medians; each concentration step takes mean and scatter of the half of the rows nearest to the last fit: up to
+    half of a language's distinct texts may be spam of any form, without drawing the fit to them. Only
     sums reach the driver: one row of 28 numbers a language and step. Texts of unknown language are few and mostly
     odd, no population of their own; they are held against all known languages together.
     """
@@ -196,7 +200,7 @@ def robust_fit(measured: DataFrame, steps: int = 3, keep: float = 0.75) -> dict[
     found: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
     for _ in range(steps):
         near = measured.withColumn("_d", squared_distance(fit))
-        bounds = {r["language"]: r["q"] for r in near.groupBy("language").agg(F.percentile_approx("_d", keep, 10_000).alias("q")).collect()}
+        bounds = {r["language"]: r["q"] for r in near.groupBy("language").agg(F.percentile_approx("_d", 0.5, 10_000).alias("q")).collect()}
         limit = F.lit(0.0)
         for code, q in bounds.items():
             limit = F.when(F.col("language") == code, float(q)).otherwise(limit)
@@ -209,19 +213,19 @@ def robust_fit(measured: DataFrame, steps: int = 3, keep: float = 0.75) -> dict[
                 for j in range(i, d):
                     scatter[i, j] = scatter[j, i] = r[f"q{i}_{j}"] / r["n"] - mean[i] * mean[j]
             found[r["language"]] = (r["n"], mean, scatter)
-        fit = {code: (mean, widened(scatter, keep)) for code, (_, mean, scatter) in found.items()}
+        fit = {code: (mean, widened(scatter)) for code, (_, mean, scatter) in found.items()}
     known = [v for code, v in found.items() if code != "und"]
     if known and "und" in fit:
         n = sum(v[0] for v in known)
         mean = sum(v[0] * v[1] for v in known) / n
         scatter = sum(v[0] * (v[2] + np.outer(v[1] - mean, v[1] - mean)) for v in known) / n
-        fit["und"] = (mean, widened(scatter, keep))
+        fit["und"] = (mean, widened(scatter))
     return fit
 
 
-def widened(scatter: np.ndarray, keep: float) -> np.ndarray:
+def widened(scatter: np.ndarray) -> np.ndarray:
     """The inverse of a trimmed scatter, which is too small; the floor keeps measures that hardly vary from deciding alone."""
-    return np.linalg.inv(scatter / keep**2 + np.eye(len(scatter)) * FLOOR**2)
+    return np.linalg.inv(scatter * HALF_CONSISTENCY + np.eye(len(scatter)) * FLOOR**2)
 
 
 def spam_scores(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = CHI2_6_999, greater_part: float = 0.5) -> DataFrame:
@@ -232,8 +236,8 @@ def spam_scores(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     an empty table gives an empty one. All texts are measured whole; three passes over six numbers a text give the fit.
     """
     measured = cut(measures(rows, id_col, text, lang))
-    fit = robust_fit(measured)
+    fit = robust_fit(cut(measured.select("language", "_copy", *MEASURES).dropDuplicates(["language", "_copy"])))
     directed = sum((F.col(m) for m in SPAM_DIRECTED[1:]), F.col(SPAM_DIRECTED[0]))
     scored = measured.withColumn("distance", F.sqrt(squared_distance(fit)) if fit else F.lit(0.0))
     spam = (F.col("distance") * F.col("distance") > quantile) & (directed > greater_part) & (F.col("fragments") < directed * 0.8)
-    return scored.withColumn("spam", spam).withColumnRenamed("id", id_col)
+    return scored.drop("_copy").withColumn("spam", spam).withColumnRenamed("id", id_col)

@@ -224,3 +224,14 @@ def test_long_pieces_are_no_sentences_by_two_words():
     assert spam.measure("alpha<br>beta<li>gamma</li>", "en")[2] == spam.measure("alpha\nbeta\ngamma", "en")[2]
     explained = f"Voir {links[0]} et {links[1]} pour la description du stockage, qui est dans le dossier de la page et ne change pas avec une version plus récente."
     assert max(map(directed, (explained, PROSE * 40))) == 0
+
+
+def test_spam_that_is_much_of_a_language(spark):
+    rng = random.Random(5)
+    normal = [(k, PROSE + f" This is note {k} of the series, and it has {rng.randint(1, 99)} rows.", "en") for k in range(200)]
+    lists = [(1000 + k, "\n".join([f"https://www.site{k}.example/page{j}" for j in range(rng.randint(8, 30))] + ["more to see"] * rng.randint(0, 3)), "en") for k in range(100)]
+    copies = [(2000 + k, lists[0][1], "en") for k in range(300)]
+    df = spark.createDataFrame(normal + lists + copies, "doc_id long, text string, lang string")
+    for part, want in ((df.where("doc_id < 2000"), 100), (df, 400)):
+        found = {r.doc_id for r in spam.spam_scores(part).where("spam").collect()}
+        assert found == {r.doc_id for r in part.where("doc_id >= 1000").collect()} and len(found) == want
