@@ -28,10 +28,11 @@ class Mix:
         self.documents, self.report = documents, report
 
 
-def mix_sources(rows: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, seed: int = 7, vocabulary: str = VOCABULARY, rows_per_window: int = 50_000) -> Mix:
+def mix_sources(rows: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, reach: float = 1.0, seed: int = 7, vocabulary: str = VOCABULARY, rows_per_window: int = 50_000) -> Mix:
     """A mix in which each source of targets (source, target_weight, max_repeats) has its share of the tokens.
 
-    total_tokens is the wanted size; null takes the largest at which every source with documents can reach its share.
+    total_tokens is the wanted size; null takes the largest at which sources of the part `reach` of the wanted weight can fill
+    their budgets: 1 is every source that has documents and may use them, less lets scarce sources run short.
     A source that can't fill its budget within max_repeats gives all it may, and its reached share falls short.
     The quality weight is the share of letters and spaces in a text, at least 0.05.
     Documents of other or null sources, and those without a token, are not used; targets with a null or
@@ -46,8 +47,12 @@ def mix_sources(rows: DataFrame, targets: DataFrame, *, id_col: str = "doc_id",
     docs = cut(sized.where("n_tokens > 0").select("id", "source", "n_tokens", F.greatest("letter_share", F.lit(0.05)).alias("quality")))
     plan_sources = docs.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n"), F.avg("quality").alias("mean"))
     plan = wanted.join(plan_sources, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    able = F.when((F.col("have") > 0) & (F.col("wanted_share") > 0), F.col("have") * F.col("most") / F.col("wanted_share"))
-    size = float(total_tokens) if total_tokens is not None else plan.agg(F.min(able)).first()[0] or 0.0
+    if total_tokens is not None:
+        size = float(total_tokens)
+    else:  # a row a target
+        able = plan.where((F.col("have") > 0) & (F.col("most") > 0) & (F.col("wanted_share") > 0)).select("wanted_share", (F.col("have") * F.col("most") / F.col("wanted_share")).alias("able"))
+        filled = able.select("able", F.sum("wanted_share").over(Window.orderBy(F.desc("able"))).alias("share"), F.sum("wanted_share").over(Window.partitionBy()).alias("all"))
+        size = filled.where(F.col("share") >= F.col("all") * reach - 1e-9).agg(F.max("able")).first()[0] or 0.0
     budget = F.least(F.floor(F.lit(size) * F.col("wanted_share") + 1e-6), F.col("have") * F.col("most"))
     plan = plan.withColumn("budget", budget).withColumn("epochs", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.greatest("have", F.lit(1)))).otherwise(0).cast("int"))
     plan = cut(plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have")))

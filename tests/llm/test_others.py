@@ -128,6 +128,15 @@ def test_capped_sources_fall_short_and_say_so(spark):
     assert report["a"].most_uses == 2 and report["a"].reached_share < 0.2 < report["b"].reached_share
 
 
+def test_scarce_sources_do_not_shrink_the_mix(spark):
+    docs = spark.createDataFrame([(k, "a" if k < 2 else "b" if k < 100 else "c", "word " * 20) for k in range(200)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 1), ("c", 1.0, 0)], "source string, target_weight double, max_repeats int")
+    whole = {r.source: r for r in mixing.mix_sources(docs, targets).report.collect()}
+    assert whole["a"].most_uses == 3 and 0 < whole["b"].documents < 98 and whole["c"].documents == 0
+    part = {r.source: r for r in mixing.mix_sources(docs, targets, reach=0.5).report.collect()}
+    assert part["a"].most_uses == 3 and part["a"].reached_share < part["a"].wanted_share and part["b"].documents == 98
+
+
 def test_heavier_documents_come_more_often(spark):
     rows = spark.range(20_000).withColumn("w", F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0))
     picked = rows.orderBy(mixing.exponential(3, "id") / F.col("w")).limit(2000).where("w = 4").count()
