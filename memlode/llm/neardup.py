@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlode.llm.sets import LANES, Similarity, classes, features, postings, verify, word_order
+from memlode.llm.sets import Similarity, classes, features, meet, postings, verify, word_order
 from memlode.operators.graph import connected_components
-from memlode.session import cut, partitions
+from memlode.session import cut
 
 
 def distance(fp: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,38 +104,6 @@ def shard_pairs(w: np.ndarray, n: np.ndarray, fp: list[np.ndarray], sim: Similar
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def candidates(sorted_postings: DataFrame, sim: Similarity) -> DataFrame:
-    """(ka, kb) of the sets that meet within their radius in some shard; each task holds one shard at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def search(t: pa.Table) -> pa.RecordBatch:
-            get = lambda c: t.column(c).to_numpy()
-            fp = [get(f"fp{i}").view("u8") for i in range(LANES)]
-            k = get("k")
-            a, b = shard_pairs(get("w"), get("n").astype("i8"), fp, sim)
-            pairs = np.unique(np.stack([np.minimum(k[a], k[b]), np.maximum(k[a], k[b])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ka", "kb"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, t]) if held is not None else t
-            if held.num_rows < 100_000:
-                continue
-            w = held.column("w").to_numpy()
-            full = int(np.searchsorted(w, w[-1], "left"))  # the last shard may go on
-            if full:
-                yield search(held.slice(0, full))
-                held = held.slice(full)
-        if held is not None:
-            yield search(held)
-
-    return sorted_postings.mapInArrow(run, "ka long, kb long").distinct()
-
-
 def prepare(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members (key, id), word sets) of the texts; a row repeated under its id counts once, rows without an id not at all."""
     picked = rows.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull())
@@ -148,9 +115,9 @@ def links(sets: DataFrame, similarity: float | str = 0.8, frequent: int = 65_536
     """(key_a, key_b, similarity) of all pairs of different word sets that are similar enough."""
     sim = Similarity.of(similarity)
     order = word_order(sets, frequent)
-    posted = postings(sets, order, sim, hot)
-    posted = posted.repartition(partitions(posted), "w").sortWithinPartitions("w", "n")
-    return verify(candidates(posted, sim), sets, sim)
+    fresh = sets.withColumn("old", F.lit(False))
+    met = meet(postings(sets, order, sim, hot), lambda _: fresh, order, sim, hot, lambda w, n, fp, old: shard_pairs(w, n, fp, sim))
+    return verify(met, fresh, sim).drop("old")
 
 
 def near_duplicates(rows: DataFrame, *, id_col: str = "id", text: str = "content", similarity: float | str = 0.8) -> DataFrame:
@@ -168,14 +135,25 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "id", text: str = "content
     return out.select("id", F.hex("key").alias("class"), F.coalesce("count", F.lit(0)).alias("links"), F.hex(F.coalesce("component", "key")).alias("group"))
 
 
-def id_pairs(rows: DataFrame, *, id_col: str = "id", text: str = "content", similarity: float | str = 0.8) -> DataFrame:
+def id_pairs(rows: DataFrame, *, id_col: str = "id", text: str = "content", similarity: float | str = 0.8, block: int = 4096) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all similar rows, copies included: for results that must name every pair.
 
-    The search runs over word sets; only this last step multiplies members of the classes found.
+    The search runs over word sets; only this last step multiplies members of the classes found. A class of more
+    than `block` members is spread: one side is cut into blocks, the other sent to each, so that no task pairs more
+    than a block with a class.
     """
     members, sets = prepare(rows, id_col, text)
     found = links(sets, similarity)
-    a, b = members.select(F.col("key").alias("key_a"), F.col("id").alias("a")), members.select(F.col("key").alias("key_b"), F.col("id").alias("b"))
-    across = found.join(a, "key_a").join(b, "key_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
-    same = a.join(b, F.col("key_a") == F.col("key_b")).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    sized = members.join(members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks")), "key")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0))
+    one = sized.select("key", F.col("id").alias("a"), own.alias("s"))
+    each = sized.select("key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("s"))
+    same = one.join(each, ["key", "s"]).where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    # the members of key_a in their blocks, then those of key_b in theirs; a pair of classes becomes one of blocks
+    blocks = sized.select("key", "blocks").distinct()
+    ends = found.join(blocks.withColumnsRenamed({"key": "key_a", "blocks": "_a"}), "key_a").join(blocks.withColumnsRenamed({"key": "key_b", "blocks": "_b"}), "key_b")
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    ends = ends.select("key_a", "key_b", F.explode(count("_a")).alias("s_a"), "_b").select("key_a", "key_b", "s_a", F.explode(count("_b")).alias("s_b"))
+    a, b = (one.select(F.col("key").alias(f"key_{x}"), F.col("s").alias(f"s_{x}"), F.col("a").alias(x)) for x in "ab")
+    across = ends.join(a, ["key_a", "s_a"]).join(b, ["key_b", "s_b"]).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
     return across.unionByName(same)

@@ -68,10 +68,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_redacted(spark, sf_dir).select("id", F.explode("kinds").alias("kind")).distinct()
 
 
+#: Batches that p5 ingests at a time, in order of arrival; the index is opened anew for each round, as by another session.
+BATCHES_A_ROUND = 4
+
+
 def p5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every incoming record, accepted or refused: all batches against all memories and what was accepted before."""
-    index = history.HistoryIndex(spark, "0.7").build(table(spark, sf_dir, "memories"))
-    return index.ingest(table(spark, sf_dir, "incoming_memories"))
+    """Every incoming record, accepted or refused: rounds of batches against all memories and what was accepted before."""
+    path = history.HistoryIndex(spark, "0.7", most_runs=2).build(table(spark, sf_dir, "memories")).path
+    incoming = table(spark, sf_dir, "incoming_memories")
+    last = incoming.agg(F.max("batch_no")).first()[0] or 0
+    out = incoming.select("batch_no", "seq_no", "id", F.lit(True).alias("accepted")).where("batch_no is null")
+    for low in range(0, last, BATCHES_A_ROUND):
+        index = history.HistoryIndex.open(spark, path)
+        out = out.unionByName(index.ingest(incoming.where((F.col("batch_no") > low) & (F.col("batch_no") <= low + BATCHES_A_ROUND))))
+    history.HistoryIndex(spark, "0.7", path).drop()  # the decisions do not read it
+    return out
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

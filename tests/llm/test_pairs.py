@@ -50,17 +50,35 @@ def test_id_pairs_match_brute_force(spark, rows):
     assert set(got) == brute(rows)
 
 
-@pytest.mark.parametrize("hot", [0, 3, 50])
-def test_hot_words_lose_no_pair(spark, rows, hot):
+@pytest.mark.parametrize("hot,frequent", [(2, 1), (40, 64)])
+def test_hot_words_lose_no_pair(spark, rows, hot, frequent):
     df = spark.createDataFrame(rows, "id string, content string")
     members, found = neardup.prepare(df, "id", "content")
-    links = neardup.links(found, "0.7")
-    order = sets.word_order(found, 64)
-    sim = sets.Similarity.of("0.7")
-    posted = sets.postings(found, order, sim, hot).repartition(3, "w").sortWithinPartitions("w", "n")
-    refined = sets.verify(neardup.candidates(posted, sim), found, sim)
     key = lambda d: {(bytes(r.key_a), bytes(r.key_b)) for r in d.collect()}
-    assert key(refined) == key(links)
+    # lists are split at their real length: with and without a table of frequent words, down to lists of a few sets
+    assert key(neardup.links(found, "0.7", frequent=frequent, hot=hot)) == key(neardup.links(found, "0.7"))
+
+
+def test_words_beyond_the_table_and_templates(spark):
+    rng = random.Random(9)
+    fill = lambda k: " ".join(f"r{rng.randrange(10**9)}" for _ in range(k))
+    shared = [(f"a{k:03d}", f"one two three four five {fill(6)}") for k in range(150)]
+    lines = [(f"b{k:03d}", f"error at line number {k} of the same long file with many words in it") for k in range(150)]
+    tiny = [("c0", "x"), *((f"c{k}", f"x y{k}") for k in range(1, 60))]
+    for similarity, rows in (("0.8", shared + lines), ("0.5", tiny)):
+        df = spark.createDataFrame(rows, "id string, content string")
+        members, found = neardup.prepare(df, "id", "content")
+        ids = {bytes(r.key): r.id for r in members.collect()}
+        got = {tuple(sorted((ids[bytes(r.key_a)], ids[bytes(r.key_b)]))) for r in neardup.links(found, similarity, frequent=1, hot=20).collect()}
+        sets_ = {i: words(t) for i, t in rows}
+        assert got == {(a, b) for a in sets_ for b in sets_ if a < b and similar(sets_[a], sets_[b], float(similarity))}
+        assert len(got) in (150 * 149 // 2, 59)
+
+
+def test_hot_class_is_spread(spark):
+    rows = [(f"k{k:04d}", "the very same text") for k in range(300)] + [(f"m{k}", "the very same text again") for k in range(5)]
+    got = neardup.id_pairs(spark.createDataFrame(rows, "id string, content string"), similarity="0.7", block=64).collect()
+    assert len({tuple(r) for r in got}) == len(got) == 305 * 304 // 2
 
 
 def test_groups(spark, rows):
@@ -143,14 +161,35 @@ def test_batches_match_the_sequential_rule(spark, batches):
 def test_batch_by_batch_and_compaction_give_the_same(spark, batches):
     old, records = batches
     schema = "batch_no int, seq_no int, id string, content string"
-    index = history.HistoryIndex(spark, "0.7", most_runs=2).build(spark.createDataFrame([(t,) for t in old], "content string"))
+    index = history.HistoryIndex(spark, "0.7", most_runs=2, hot=60, frequent=64).build(spark.createDataFrame([(t,) for t in old], "content string"))
     got = {}
     for n in sorted({r[0] for r in records}):
         part = [r for r in records if r[0] == n]
+        index = history.HistoryIndex.open(spark, index.path)  # as another session would
         got |= {r.id: r.accepted for r in index.ingest(spark.createDataFrame(part, schema)).collect()}
-    assert len(index.runs) <= 3
+    assert len(index.runs) <= 3 and len(index.set_runs) <= 3 and index.version > 6
     assert got == greedy(old, records)
     assert index.ingest(spark.createDataFrame([], schema)).count() == 0
+    index.drop()
+    with pytest.raises(Exception):
+        history.HistoryIndex.open(spark, index.path)
+
+
+def test_small_batches_read_little(spark):
+    rng = random.Random(4)
+    old = [(" ".join(f"q{rng.randrange(10**6)}" for _ in range(12)),) for _ in range(30_000)]
+    index = history.HistoryIndex(spark, "0.7", sets_per_range=1000).build(spark.createDataFrame(old, "content string").repartition(8))
+    batch = spark.createDataFrame([(1, 1, "a", old[7][0]), (1, 2, "b", "something new altogether")], "batch_no int, seq_no int, id string, content string")
+    posted = history.postings(history.features(batch, ("id",), "content"), index.order, index.sim, index.hot, copies=True)
+    near = index._near(index.runs, history.POSTING, "w", posted)
+    assert 0 < near.count() < 20
+    plan = near._jdf.queryExecution().executedPlan()
+    near._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    read = sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    assert read < 0.2 * index.runs[0].rows
+    assert {r.id: r.accepted for r in index.ingest(batch).collect()} == {"a": False, "b": True}
+    index.drop()
 
 
 def test_empty_history(spark):
@@ -160,5 +199,19 @@ def test_empty_history(spark):
 
 
 def test_long_chains_are_decided_in_order(spark):
-    edges = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(12)], "a string, b string")
-    assert sorted(r.key for r in history.refused(edges).collect()) == [f"{k:03d}" for k in range(1, 13, 2)]
+    rng = random.Random(2)
+    for edges in ([(k, k + 1) for k in range(1200)], [tuple(sorted(rng.sample(range(150), 2))) for _ in range(400)]):
+        gone = set()
+        for a, b in sorted(set(edges), key=lambda e: e[1]):
+            if a not in gone:
+                gone.add(b)
+        for most in (10**6, 350):
+            assert sorted(r.pos for r in history.refused(spark.createDataFrame(edges, "a long, b long"), most).collect()) == sorted(gone)
+
+
+def test_empty_history_with_a_word_in_all(spark):
+    rng = random.Random(6)
+    records = [(1, k, f"r{k}", "all of these share eight words here " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(2 + k % 5))) for k in range(400)]
+    index = history.HistoryIndex(spark, "0.7", hot=30).build(spark.createDataFrame([], "content string"))
+    got = index.ingest(spark.createDataFrame(records, "batch_no int, seq_no int, id string, content string"))
+    assert {r.id: r.accepted for r in got.collect()} == greedy([], records)
