@@ -9,6 +9,7 @@ and leaves and may miss neighbours. Inside a shard, where looking costs no shuff
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from memlode.session import cut
+from memlode.session import cut, partitions
 
 #: Slack for the rounding of 32-bit distances, so that factor 1 is exact.
 EPS = 2e-3
@@ -84,54 +85,91 @@ def route(root: Node, x: np.ndarray, margin: np.ndarray | None) -> Iterator[tupl
         stack += [(node.near, at[near]), (node.far, at[far])]
 
 
-def search(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, relax: float, leaf_rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, cosine) of the k most similar points of each query with at least its floor.
-
-    own is the place of the query itself among x, or -1. The first descent, to the leaf a query belongs to, narrows its
-    radius; the second visits what the narrowed ball reaches.
+class Tree:
+    """A vantage-point tree over the points of a cell, to be asked in batches."""
+
+    def __init__(self, x: np.ndarray, leaf_rows: int = 256):
+        self.x = x
+        self.root, _ = plant(x, leaf_rows=leaf_rows)
+        self.leaves: dict[int, Node] = {}
+        self.inside = np.zeros(len(x), dtype="i4")
+        todo = [self.root]
+        while todo:
+            node = todo.pop()
+            if node.vantage is None:
+                self.leaves[node.leaf] = node
+                self.inside[node.points] = np.arange(len(node.points))
+            else:
+                todo += [node.near, node.far]
+        self.leaf_of = np.zeros(len(x), dtype="i8")
+        for leaf, node in self.leaves.items():
+            self.leaf_of[node.points] = leaf
+
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, cosine) of the k most similar points of each query with at least its floor.
+
+        own is the place of the query itself among the points, or -1. The first descent, to the leaf a query belongs to,
+        narrows its radius; the second visits what the narrowed ball reaches.
+        """
+        best = np.full((len(q), k), -2.0, dtype="f4")
+        place = np.full((len(q), k), -1, dtype="i8")
+        bound = floor.astype("f4").copy()
+        visited = np.full(len(q), -1, dtype="i8")
+
+        def look(node: Node, at: np.ndarray) -> None:
+            for part in np.array_split(at, max(1, -(-len(at) * len(node.points) // 4_000_000))):
+                s = q[part] @ self.x[node.points].T
+                mine = np.flatnonzero((own[part] >= 0) & (self.leaf_of[own[part]] == node.leaf))
+                s[mine, self.inside[own[part[mine]]]] = -2.0
+                hit = np.flatnonzero(s.max(axis=1) >= bound[part])
+                if not len(hit):
+                    continue
+                rows = part[hit]
+                every = np.concatenate([best[rows], s[hit]], axis=1)
+                where = np.concatenate([place[rows], np.broadcast_to(node.points, (len(rows), len(node.points)))], axis=1)
+                top = np.argpartition(-every, k - 1, axis=1)[:, :k]
+                best[rows], place[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(where, top, 1)
+                bound[rows] = np.maximum(bound[rows], best[rows].min(axis=1))
+
+        for leaf, at in route(self.root, q, None):
+            look(self.leaves[leaf], at)
+            visited[at] = leaf
+        margin = (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * bound)) + EPS) / relax
+        for leaf, at in route(self.root, q, margin):
+            rest = at[visited[at] != leaf]
+            if len(rest):
+                look(self.leaves[leaf], rest)
+        i, j = np.nonzero((place >= 0) & (best >= floor[:, None]))
+        return i, place[i, j], best[i, j]
+
+
+@dataclass(frozen=True)
+class Grid:
+    """How the shards are cut: points[leaf] blocks of points and asks[leaf] blocks of queries, the first cell of each leaf, the task of each cell.
+
+    Every block of points meets every block of queries of its shard in a cell of its own, so that a task holds about shard_rows
+    points, whatever the shard, and however many ask in it.
     """
-    root, _ = plant(x, leaf_rows=leaf_rows)
-    best = np.full((len(q), k), -2.0, dtype="f4")
-    place = np.full((len(q), k), -1, dtype="i8")
-    bound = floor.astype("f4").copy()
-    visited = np.full(len(q), -1, dtype="i8")
-
-    def look(node: Node, at: np.ndarray) -> None:
-        inside = np.full(len(x), -1, dtype="i4")
-        inside[node.points] = np.arange(len(node.points))
-        for part in np.array_split(at, max(1, -(-len(at) * len(node.points) // 4_000_000))):
-            s = q[part] @ x[node.points].T
-            me = np.where(own[part] >= 0, inside[own[part]], -1)
-            mine = np.flatnonzero(me >= 0)
-            s[mine, me[mine]] = -2.0
-            hit = np.flatnonzero(s.max(axis=1) >= bound[part])
-            if not len(hit):
-                continue
-            rows = part[hit]
-            every = np.concatenate([best[rows], s[hit]], axis=1)
-            where = np.concatenate([place[rows], np.broadcast_to(node.points, (len(rows), len(node.points)))], axis=1)
-            top = np.argpartition(-every, k - 1, axis=1)[:, :k]
-            best[rows], place[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(where, top, 1)
-            bound[rows] = np.maximum(bound[rows], best[rows].min(axis=1))
-
-    leaves: dict[int, Node] = {}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.vantage is None:
-            leaves[node.leaf] = node
-        else:
-            todo += [node.near, node.far]
-    for leaf, at in route(root, q, None):
-        look(leaves[leaf], at)
-        visited[at] = leaf
-    margin = (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * bound)) + EPS) / relax
-    for leaf, at in route(root, q, margin):
-        rest = at[visited[at] != leaf]
-        if len(rest):
-            look(leaves[leaf], rest)
-    i, j = np.nonzero((place >= 0) & (best >= floor[:, None]))
-    return i, place[i, j], best[i, j]
+
+    points: np.ndarray
+    asks: np.ndarray
+    first: np.ndarray
+    task: np.ndarray
+    tasks: int
+
+    @staticmethod
+    def of(lives: np.ndarray, asks: np.ndarray, shard_rows: int, least: int) -> "Grid":
+        """lives and asks: how many are expected of each leaf."""
+        p, a = (np.maximum(1, np.ceil(n / m)).astype("i8") for n, m in ((lives, shard_rows), (asks, 4 * shard_rows)))
+        first = np.concatenate([[0], np.cumsum(p * a)])
+        rows = np.repeat(lives / p + asks / a, p * a)
+        tasks = int(min(len(rows), max(least, np.ceil(rows.sum() / (4 * shard_rows)))))
+        task, load = np.zeros(len(rows), dtype="i4"), [(0.0, t) for t in range(tasks)]
+        for cell in np.argsort(-rows, kind="stable"):  # the largest first, each to the task with least
+            least_load, t = heapq.heappop(load)
+            task[cell] = t
+            heapq.heappush(load, (least_load + float(rows[cell]), t))
+        return Grid(p, a, first[:-1], task, tasks)
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vector: str, dims: int) -> DataFrame:
@@ -167,64 +205,118 @@ def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
 def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_similarity: float | None, relax: float, shard_rows: int, fit_rows: int) -> DataFrame:
     """(q, p, similarity): of every key of asking the k most similar other keys of points. Both are (key, v), keys unique."""
     total = points.count()
+    asked = total if asking is points else asking.count()
     rate = min(1.0, fit_rows / max(1, total))
     sample = points.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(rate * (1 << 40)) + 1).select("v").limit(2 * fit_rows)
     fitted = matrix(sample.toArrow().column("v"), dims) if total else np.zeros((0, dims), dtype="f4")
     wanted = max(1, min(-(-total // shard_rows), len(fitted) // 16))
-    root, _ = plant(fitted, leaves=wanted)
+    root, leaves = plant(fitted, leaves=wanted)
     node_stack = [root]
     while node_stack:  # the tasks need no sample
         node = node_stack.pop()
         node.points = None
         node_stack += [n for n in (node.near, node.far) if n is not None]
-    reach = fitted if min_similarity is None else None
-
-    def send(lives: bool, asks: bool):
+    reach = fitted[:20_000] if min_similarity is None else None
+
+    def floors(x: np.ndarray) -> np.ndarray:
+        """Below which no neighbour of a query can lie."""
+        floor = np.full(len(x), -2.0 if min_similarity is None else min_similarity, dtype="f4")
+        if reach is not None and len(reach) > k + 1 and len(x):  # the k-th of a sample is never nearer than the k-th of all
+            for part in np.array_split(np.arange(len(x)), -(-len(x) // 256)):
+                floor[part] = np.partition(x[part] @ reach.T, -(k + 1), axis=1)[:, -(k + 1)] - np.float32(1e-5)
+        return floor
+
+    def margins(floor: np.ndarray) -> np.ndarray:
+        return (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)) + EPS) / relax
+
+    # what the sample does foretells how full the shards become; a wrong guess makes a task larger, not the result wrong
+    few = fitted[:4096]
+    lives, asks = np.zeros(leaves), np.zeros(leaves)
+    for counts, margin, of in ((lives, None, total), (asks, margins(floors(few)), asked)):
+        for leaf, at in route(root, few, margin):
+            counts[leaf] += len(at) * of / max(1, len(few))
+    grid = Grid.of(lives, asks, shard_rows, partitions(points))
+
+    def send(live: bool, ask: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = matrix(batch.column("v"), dims)
+                own = np.array([int.from_bytes(key.as_py()[:6], "little") for key in batch.column("key")], dtype="i8")
                 home = np.full(len(x), -1, dtype="i8")
                 for leaf, at in route(root, x, None):
                     home[at] = leaf
-                floor, targets = np.full(len(x), -2.0 if min_similarity is None else min_similarity, dtype="f4"), [(leaf, np.flatnonzero(home == leaf)) for leaf in np.unique(home)]
-                if asks:
-                    if reach is not None and len(reach) > k + 1:  # the k-th of a sample is never nearer than the k-th of all
-                        for part in np.array_split(np.arange(len(x)), -(-len(x) // 256)):
-                            floor[part] = np.partition(x[part] @ reach.T, -(k + 1), axis=1)[:, -(k + 1)] - np.float32(1e-5)
-                    targets = route(root, x, (np.sqrt(np.maximum(0.0, 2.0 - 2.0 * floor)) + EPS) / relax)
-                for leaf, at in targets:  # the shard where a vector lives gets one row for both roles
-                    got = batch.select(["key", "v"]).take(pa.array(at))
-                    roles = [pa.array(np.full(len(at), leaf, dtype="i4")), pa.array((home[at] == leaf) & lives), pa.array(np.full(len(at), asks)), pa.array(floor[at])]
-                    yield pa.RecordBatch.from_arrays([*roles, *got.columns], names=["shard", "lives", "asks", "floor", "key", "v"])
+                floor = floors(x) if ask else np.zeros(len(x), dtype="f4")
+                block_p, block_a = own % grid.points[home], own // 4096
+                out = []  # (place, cell, lives, asks)
+                if live:
+                    for i in range(int(grid.asks[home].max())):
+                        at = np.flatnonzero(grid.asks[home] > i)
+                        mine = (block_a[at] % grid.asks[home[at]] == i) & ask
+                        out.append((at, grid.first[home[at]] + block_p[at] * grid.asks[home[at]] + i, np.ones(len(at), dtype="?"), mine))
+                for leaf, at in route(root, x, margins(floor)) if ask else ():
+                    for j in range(int(grid.points[leaf])):
+                        to = at[~(live & (home[at] == leaf) & (block_p[at] == j))]  # there it is sent already, for both roles
+                        out.append((to, grid.first[leaf] + j * grid.asks[leaf] + block_a[to] % grid.asks[leaf], np.zeros(len(to), dtype="?"), np.ones(len(to), dtype="?")))
+                at, cell, is_live, is_ask = (np.concatenate(c) for c in zip(*out))
+                got = batch.select(["key", "v"]).take(pa.array(at))
+                cols = [pa.array(grid.task[cell]), pa.array(cell.astype("i4")), pa.array(is_live), pa.array(is_ask), pa.array(floor[at]), *got.columns]
+                yield pa.RecordBatch.from_arrays(cols, names=["task", "cell", "lives", "asks", "floor", "key", "v"])
 
         return run
 
-    schema = "shard int, lives boolean, asks boolean, floor float, key binary, v binary"
+    schema = "task int, cell int, lives boolean, asks boolean, floor float, key binary, v binary"
     if asking is points:
         sent = points.mapInArrow(send(True, True), schema)
     else:
         sent = points.mapInArrow(send(True, False), schema).unionByName(asking.mapInArrow(send(False, True), schema))
 
-    def shard(t: pa.Table) -> pa.Table:
-        p, a = t.filter(t.column("lives")), t.filter(t.column("asks"))
-        if p.num_rows and a.num_rows:
-            keys = p.column("key").to_pylist()
-            at = {key: i for i, key in enumerate(keys)}
-            mine = a.column("key").to_pylist()
-            own = np.array([at.get(key, -1) for key in mine], dtype="i8")
-            i, j, s = search(matrix(p.column("v"), dims), matrix(a.column("v"), dims), own, k, a.column("floor").to_numpy(), max(1.0, relax / 2))
-        else:
-            keys, mine, i, j, s = [], [], [], [], np.zeros(0, dtype="f4")
-        return pa.table({"q": pa.array([mine[x] for x in i], pa.binary()), "p": pa.array([keys[x] for x in j], pa.binary()), "similarity": pa.array(s)})
-
-    found = sent.groupBy("shard").applyInArrow(shard, "q binary, p binary, similarity float")
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, at = None, None, {}
+        held: list[pa.RecordBatch] = []  # points of the cell
+        waiting: list[pa.RecordBatch] = []  # queries
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal tree, at, waiting, held
+            if held and tree is None:
+                t = pa.Table.from_batches(held)
+                at = {key: i for i, key in enumerate(t.column("key").to_pylist())}
+                tree = Tree(matrix(t.column("v"), dims)), list(at)
+                held = []
+            if tree and waiting:
+                a = pa.Table.from_batches(waiting)
+                mine = a.column("key").to_pylist()
+                own = np.array([at.get(key, -1) for key in mine], dtype="i8")
+                i, j, s = tree[0].search(matrix(a.column("v"), dims), own, k, a.column("floor").to_numpy(), max(1.0, relax / 2))
+                yield pa.RecordBatch.from_arrays([pa.array([mine[x] for x in i], pa.binary()), pa.array([tree[1][x] for x in j], pa.binary()), pa.array(s)], names=["q", "p", "similarity"])
+            waiting = []
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
+            for lo, hi in zip(edges, [*edges[1:], len(cell)]):
+                if cell[lo] != now:
+                    yield from answer()
+                    now, tree, at, held = cell[lo], None, {}, []
+                part = batch.slice(lo, hi - lo)
+                points_of = part.filter(part.column("lives"))
+                if points_of.num_rows:  # they come before those that only ask
+                    held.append(points_of)
+                waiting.append(part.filter(part.column("asks")))
+                if tree is None and points_of.num_rows == part.num_rows:
+                    continue
+                if sum(b.num_rows for b in waiting) >= 4 * shard_rows:
+                    yield from answer()
+        yield from answer()
+
+    placed = sent.repartitionById(grid.tasks, F.col("task")).sortWithinPartitions("cell", F.desc("lives"))
+    found = placed.mapInArrow(cells, "q binary, p binary, similarity float")
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "p")))
     return ranked.where(F.col("_r") <= k).drop("_r")
 
 
-def knn(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", dims: int = 64, k: int = 5, min_similarity: float | None = None, asking: DataFrame | None = None, relax: float = 8.0, shard_rows: int = 16_384, fit_rows: int = 20_000) -> DataFrame:
+def knn(rows: DataFrame, *, id_col: str = "id", vector: str = "embedding", dims: int = 64, k: int = 5, min_similarity: float | None = None, asking: DataFrame | None = None, relax: float = 8.0, shard_rows: int = 16_384, fit_rows: int = 65_536) -> DataFrame:
     """(id, neighbour, similarity, rank): the k rows of the most similar vectors of every row (or of the ids of asking).
 
     With min_similarity, of those at least as similar. Cosine is the similarity; equals are ranked by id. Vectors that

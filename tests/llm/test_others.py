@@ -48,6 +48,24 @@ def test_factor_one_is_exact(spark, points):
         assert [round(r.similarity, 4) for r in got[i]] == pytest.approx([s for _, s in near], abs=2e-4)
 
 
+@pytest.mark.parametrize("shard_rows,fit_rows", [(150, 64)])
+def test_shards_beyond_the_sample_are_cut_into_blocks(spark, points, shard_rows, fit_rows):
+    """A sample too small for as many shards as there should be: points and queries are cut into blocks, and factor 1 stays exact."""
+    df = spark.createDataFrame(points, "id string, embedding array<float>")
+    got = {}
+    for r in knn.knn(df, dims=16, relax=1.0, shard_rows=shard_rows, fit_rows=fit_rows, min_similarity=0.8).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(round(r.similarity, 3))
+    want = {i: [round(float(s), 3) for _, s in near] for i, near in truth(points, 5, 0.8).items() if near}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-3) for i in want)
+
+
+def test_the_grid_is_even():
+    grid = knn.Grid.of(np.array([100.0, 5000.0, 0.0]), np.array([900.0, 90_000.0, 10.0]), 1000, 4)
+    assert grid.points.tolist() == [1, 5, 1] and grid.asks.tolist() == [1, 23, 1] and len(grid.task) == 117
+    load = np.bincount(grid.task, weights=np.repeat([1000, 1000 + 90_000 / 23, 10], [1, 115, 1]))
+    assert load.max() < 1.3 * load.mean() and grid.tasks == len(load)
+
+
 def test_relaxed_recall(spark, points):
     df = spark.createDataFrame(points, "id string, embedding array<float>")
     got = {(r.id, r.neighbour) for r in knn.knn(df, dims=16, min_similarity=0.9, relax=8.0, shard_rows=150).collect()}
