@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages: robust Mahalanobis outliers in spam-directed directions.
 
-Every text is measured by the shares of its words in bare links, in product data or tags, in repeated phrases and in loose
-fragments, by its share of function words and by the entropy of its words. Per language, the centre and the scatter of all
+Every text is measured by the densities of bare links, of product data or tags, of repeated phrases and of loose fragments
+among its words, by its lack of function words and by the entropy of its words. Per language, the centre and the scatter of all
 texts, copies once, are estimated robustly (medians, then concentration steps over the nearest half). A text is spam if its
-robust distance is beyond the quantile and its deviation lies along the first four measures for the greater part of its words.
+robust distance is beyond the quantile and its deviation lies in a spam direction: in the metric of the scatter its angle to
+what links, product data and repeats alone contribute to it is under 60 degrees. No measure has a threshold of its own.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,13 @@ from pyspark.sql import functions as F
 from memlode.session import cut
 
 MEASURES = ("links", "goods", "repeats", "fragments", "lack", "order")
-#: The measures a deviation has to lie along.
-SPAM_DIRECTED = MEASURES[:4]
-#: Standard deviations that measures are taken to have at least; most texts have no link at all.
+#: The measures that span the spam directions.
+SPAM_DIRECTED = MEASURES[:3]
+#: The resolution of the measures, added to their scatter; most texts have no link at all.
 FLOOR = 0.05
-#: The 0.999 quantile of chi-squared with six degrees of freedom (fixed value).
-CHI2_6_999 = 22.458
+#: The quantile of chi-squared with six degrees of freedom that one normal text in 10^12 exceeds, so that collections of
+#: any size that is met have hardly a false outlier (fixed value).
+CHI2_6 = 68.1
 #: By which the scatter of the nearest half of a normal population in six dimensions is too small: 0.5 / P(chi-squared of eight
 #: degrees < median of chi-squared of six) (fixed value).
 HALF_CONSISTENCY = 1.785
@@ -43,9 +46,9 @@ SENTENCE_SHARE = 0.12
 #: One of these is in every price or article number; looking for them is quicker than the pattern.
 PRICE_SIGNS = ("$", "€", "£", "¥", "sku", "ean", "gtin", "art.", "ref", "réf", "eur", "usd", "brl")
 ANCHOR = re.compile(r"""<a\s[^>]*href\s*=\s*["']?([^"'>\s]+)[^>]*>""", re.I)
-ELEMENT = re.compile(r"</?[a-z][^>]{0,400}>", re.I)
+ELEMENT = re.compile(r"</?[a-z][^<>]*>", re.I)
 #: Tags that end a line of the page.
-BREAK = re.compile(r"</?(?:br|li|p|tr|ul|ol|div|table|h[1-6])\b[^>]{0,400}>", re.I)
+BREAK = re.compile(r"</?(?:br|li|p|tr|ul|ol|div|table|h[1-6])\b[^<>]*>", re.I)
 LINES = re.compile(r"[\n\r  ]+")
 SEGMENTS = re.compile(r"[|;•·]+|\s\*\s|\s-\s|\s//\s|(?<=[.!?:])\s+")
 
@@ -127,8 +130,8 @@ def measure(text: str, declared: str | None = None) -> tuple[str, int, tuple[flo
             parts.append((piece, all_, body, grammar, n_links > 0 and len(body) <= 24 * n_links, False))
             pairs.update([(a, b) if a < b else (b, a) for a, b in zip(body, body[1:])])
             bags[tuple(sorted(body))] += 1
-    # what counts as often in a text of some lines is no chance in one of many
-    often = 2 if sum(words.values()) < 120 else max(3, len(words) // 100)
+    # how often a pair of words comes by chance grows with the text: twice and the hundredth part of its different words
+    often = 2 + len(words) // 100
     links = goods = repeats = fragments = 0
     for piece, all_, body, grammar, linked, sentence in parts:
         if linked:
@@ -173,20 +176,34 @@ def measures(rows: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     return picked.mapInArrow(run, schema).where("words > 0")
 
 
-def squared_distance(fit: dict[str, tuple[np.ndarray, np.ndarray]]) -> Column:
-    """The Mahalanobis distance of a row from its language's fit, as an expression."""
+Fit = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def product(fit: Fit, left: bool, right: bool) -> Column:
+    """The inner product, in the metric of its language's scatter, of a row's deviation with itself; left and right take only its
+    spam-directed part: the positive deviations of SPAM_DIRECTED."""
     out = F.lit(None).cast("double")
     for code, (mean, inverse) in fit.items():
-        dev = [F.col(m) - F.lit(float(mean[i])) for i, m in enumerate(MEASURES)]
-        terms = [dev[i] * dev[j] * F.lit(float(inverse[i, j] * (1 if i == j else 2))) for i in range(len(MEASURES)) for j in range(i, len(MEASURES))]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        out = F.when(F.col("language") == code, total).otherwise(out)
+        whole = [F.col(m) - F.lit(float(mean[i])) for i, m in enumerate(MEASURES)]
+        part = [F.greatest(d, F.lit(0.0)) if m in SPAM_DIRECTED else None for m, d in zip(MEASURES, whole)]
+        a, b = (part if x else whole for x in (left, right))
+        terms = [a[i] * b[j] * F.lit(float(inverse[i, j])) for i in range(len(MEASURES)) for j in range(len(MEASURES)) if a[i] is not None and b[j] is not None]
+        out = F.when(F.col("language") == code, reduce(Column.__add__, terms)).otherwise(out)
     return out
 
 
-def robust_fit(measured: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def squared_distance(fit: Fit) -> Column:
+    """The squared Mahalanobis distance of a row from its language's fit, as an expression."""
+    return product(fit, False, False)
+
+
+def direction(fit: Fit) -> Column:
+    """The cosine of the angle between a row's deviation and its spam-directed part; 0 where there is no such part."""
+    size = product(fit, True, True) * product(fit, False, False)
+    return F.when(size > 0, product(fit, True, False) / F.sqrt(F.when(size > 0, size))).otherwise(0.0)
+
+
+def robust_fit(measured: DataFrame, steps: int = 3) -> Fit:
     """Centre and inverse scatter of each language (there are at most five), from all rows.
 
     It starts from medians; each concentration step takes mean and scatter of the half of the rows nearest to the last fit: up to
@@ -228,8 +245,8 @@ def widened(scatter: np.ndarray) -> np.ndarray:
     return np.linalg.inv(scatter * HALF_CONSISTENCY + np.eye(len(scatter)) * FLOOR**2)
 
 
-def spam_scores(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = CHI2_6_999, greater_part: float = 0.5) -> DataFrame:
-    """(id, language, words, MEASURES, distance, spam) of every text with a word.
+def spam_scores(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = CHI2_6, least_cosine: float = 0.5) -> DataFrame:
+    """(id, language, words, MEASURES, distance, direction, spam) of every text with a word.
 
     Null, blank and wordless texts are no spam and give no row; a null, odd or wrong language is guessed from
     the function words, else texts are measured against those of unknown language. Repeated rows give repeated rows;
@@ -237,7 +254,6 @@ def spam_scores(rows: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     measured = cut(measures(rows, id_col, text, lang))
     fit = robust_fit(cut(measured.select("language", "_copy", *MEASURES).dropDuplicates(["language", "_copy"])))
-    directed = sum((F.col(m) for m in SPAM_DIRECTED[1:]), F.col(SPAM_DIRECTED[0]))
-    scored = measured.withColumn("distance", F.sqrt(squared_distance(fit)) if fit else F.lit(0.0))
-    spam = (F.col("distance") * F.col("distance") > quantile) & (directed > greater_part) & (F.col("fragments") < directed * 0.8)
+    scored = measured.withColumn("distance", F.sqrt(squared_distance(fit)) if fit else F.lit(0.0)).withColumn("direction", direction(fit) if fit else F.lit(0.0))
+    spam = (F.col("distance") * F.col("distance") > quantile) & (F.col("direction") > least_cosine)
     return scored.drop("_copy").withColumn("spam", spam).withColumnRenamed("id", id_col)

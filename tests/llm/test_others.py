@@ -239,6 +239,23 @@ def test_spam_and_its_likes(spark):
     assert spam.spam_scores(df.limit(0)).count() == 0
 
 
+def test_distance_and_direction_both_decide(spark):
+    """Without the distance, or without the direction, other texts come out: neither is an ornament."""
+    rng = random.Random(3)
+    clean = [(k, PROSE + f" This is note {k} of the series, and it has {rng.randint(1, 99)} rows. " + (f"See https://a{k}.example/b for it." if k % 3 == 0 else ""), "en") for k in range(150)]
+    links = (900, "\n".join(f"https://www.site{k}.example/page{k}" for k in range(40)), "en")
+    glossary = (901, "\n".join(rng.choice("red blue green amber violet teal".split()) + f" q{k} w{rng.randint(1, 9999)}" for k in range(60)), "en")
+    got = {r.doc_id: r for r in spam.spam_scores(spark.createDataFrame([*clean, links, glossary], "doc_id long, text string, lang string")).collect()}
+    assert {i for i, r in got.items() if r.spam} == {900}
+    far, along = {i for i, r in got.items() if r.distance**2 > spam.CHI2_6}, {i for i, r in got.items() if r.direction > 0.5}
+    assert 901 in far - along and {0, 3, 6} <= along - far and 900 in far & along
+
+
+def test_long_tags_are_no_text():
+    tag = '<div data-x="' + "word " * 200 + '">'
+    assert spam.measure(f"alpha beta {tag} gamma", "en")[1] == 3
+
+
 def test_long_pieces_are_no_sentences_by_two_words():
     def directed(text):
         return sum(spam.measure(text, "fr")[2][:4])
