@@ -1,16 +1,18 @@
-"""Personal information in free text: a skip-chain conditional random field over candidate spans.
-
-Wide patterns cut a text into candidate spans (mail addresses, groups of digits, addresses, capitalized names). The field
-labels each span with a kind or with nothing. Its potentials are of three sorts: weights of a span's features (form,
-surrounding words, given names), of the labels of neighbouring spans, and of spans far apart that repeat or share a word, the
-skip edges. Loopy belief propagation runs over all spans of a batch of texts at once. The weights are trained on a
-bounded sample of the texts, labelled by sure cases only; the field carries them over to the unsure ones.
+"""Personal information in free text: a skip-chain conditional random field over tokens.
+
+Wide patterns cut a text into candidate segments (mail addresses, groups of digits, addresses, capitalized names, single
+capitalized words that come up in one of these). Their tokens are the nodes of the field, each labelled with a kind or with nothing.
+A token's potential comes from its own features and its share of its segment's (form, surrounding words, given names). Edges
+join the tokens of a segment, the ends of neighbouring segments, and, however far apart, equal and similar tokens: the skip
+edges. Loopy sum-product messages run over all tokens of a batch of texts at once. All potentials, those of edges too, are learnt
+by ascending the likelihood of the field on a bounded sample of the texts, of which only sure cases are labelled and the others
+hidden; the field carries the labels over to the unsure ones.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -59,21 +61,23 @@ _NUMBER_WORDS = "ticket|build|trace|epoch|checksum|sizes|size|run|runs|job|port|
 ID_NEAR, PHONE_NEAR, OTHER_NEAR = (frozenset(w.split("|")) for w in (_ID_WORDS, _PHONE_WORDS, _NUMBER_WORDS))
 REPOSITORY = regex.compile(r"^(?:git|hg|svn|ssh)$", regex.I)
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: A capitalized word by itself.
+LONE = regex.compile(r"(?<![\p{L}\p{N}_@/\\.:\-])\p{Lu}[\p{Ll}\p{M}]{3,}(?![\p{L}\p{N}_/@]|\.\p{Ll})")
 _TITLES = regex.compile(rf"^{_TITLE}\.?\s")
 _STOPS = frozenset("the a an of and or for in on at to with from by as ask after before if when el la los las de del con según segundo selon según o os as um uma le les des falar talk hablar".split())
 
 
 @dataclass
 class Span:
-    """A candidate: its place, what the patterns say of it, its features and the words by which it links to others."""
+    """A candidate segment: its place, what the patterns say of it, its features and its tokens in lower case."""
 
     start: int
     end: int
     sort: int
     features: list[str]
-    links: frozenset[str]
     sure: int | None = None
     tokens: list[str] = field(default_factory=list)
+    lone: bool = False
 
 
 def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -102,9 +106,9 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
     def free(m) -> bool:
         return not any(taken[m.start() : m.end()])
 
-    def add(start: int, end: int, sort: int, features: list[str], links: Iterable[str], sure: int | None, tokens: list[str] | None = None) -> None:
+    def add(start: int, end: int, sort: int, features: list[str], sure: int | None) -> None:
         taken[start:end] = b"\1" * (end - start)
-        out.append(Span(start, end, sort, features, frozenset(links), sure, tokens or []))
+        out.append(Span(start, end, sort, features, sure, [w.lower() for w in WORD.findall(plain[start:end])] or ["_"]))
 
     if any(x in plain for x in ("@", "%40", "&#64;")) or regex.search(r"\b(?:at|arroba|arobase|chez)\b", plain, regex.I):
         for m in MAIL.finditer(plain):
@@ -115,7 +119,7 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
             host = regex.search(rf"(?:{_DOT})({_TLD})$", value, regex.I)
             short = bool(spaced) and host is not None and len(host[1]) == 2 and "." not in local
             sure = NONE if odd else None if short else EMAIL
-            add(m.start(), m.end(), EMAIL, ["mail", f"repo={odd}", f"spaced={bool(spaced)}"], [local.lower()], sure)
+            add(m.start(), m.end(), EMAIL, ["mail", f"repo={odd}", f"short={short}", f"spaced={bool(spaced)}"], sure)
     for m in PLACE.finditer(plain):
         if not free(m):
             continue
@@ -124,7 +128,7 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
         box = regex.match(r"\p{L}", value) is not None and not regex.match(_VIA, value, regex.I)
         proper = regex.search(r"\p{L}{3,}", value) is not None
         city = "," in value or regex.search(r"\d{5}", value) is not None
-        add(m.start(), m.end(), ADDRESS, ["place", f"city={city}", f"box={box}", f"city={city},{before[-1] if before else '^'}", *context], [w.lower() for w in WORD.findall(value) if len(w) > 4], ADDRESS if city and proper else None)
+        add(m.start(), m.end(), ADDRESS, ["place", f"city={city}", f"box={box}", f"city={city},{before[-1] if before else '^'}", *context], ADDRESS if city and proper else None)
     for pattern in (INSURANCE, LETTERED, NUMBER):
         for m in pattern.finditer(plain):
             if not free(m):
@@ -157,7 +161,7 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
                 sure = None
             elif sure is None and value.isdigit() and lead == "d":
                 sure = NONE
-            add(m.start(), m.end(), PHONE, f, [regex.sub(r"\D", "", value)], sure)
+            add(m.start(), m.end(), PHONE, f, sure)
     at = 0
     while m := PERSON.search(plain, at):
         start, end = m.span()
@@ -184,83 +188,149 @@ def spans(text: str, given: frozenset[str]) -> list[Span]:
         comma = "," in value
         first = low[-1] if comma else low[0]
         given_at = first in given
-        f = ["person", f"given={given_at}", f"title={titled}", f"initial={initial}", f"comma={comma}", f"upper={value.isupper()}", f"opens={opens}", f"count={len(low)}", f"end={low[-1][-3:]}", *context, *(f"t={t}" for t in low)]
-        add(start, end, NAME, f, [t for t in low if len(t) > 3], NAME if titled or given_at else NAME if initial and len(low[-1]) > 3 else None, low)
+        f = ["person", f"given={given_at}", f"title={titled}", f"initial={initial}", f"comma={comma}", f"upper={value.isupper()}", f"opens={opens}", f"count={len(low)}", f"end={low[-1][-3:]}", *context]
+        add(start, end, NAME, f, NAME if titled or given_at else NAME if initial and len(low[-1]) > 3 else None)
+    named = {stem(t) for s in out if s.sort == NAME for t in s.tokens if len(t) > 3}
+    if named:
+        for m in LONE.finditer(plain):
+            if stem(m[0].lower()) in named and free(m):
+                _, _, context = _context(plain, m.start(), m.end())
+                add(m.start(), m.end(), NAME, ["lone", *context], None)
+                out[-1].lone = True
     out.sort(key=lambda s: s.start)
     return out
 
 
-def edges(found: list[list[Span]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one end, other end, sort) over all spans of several texts: 0 next to each other, 1 a skip edge."""
-    a, b, kind, at = [], [], [], 0
+def stem(token: str) -> str:
+    """What similar tokens have in common: the first six letters without accents."""
+    if token.isascii():
+        return token[:6]
+    return "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))[:6]
+
+
+#: Sorts of edges: between tokens of a segment, between neighbouring segments, skip edges of equal and of similar tokens.
+INSIDE, NEXT, EQUAL, SIMILAR = range(4)
+
+
+@dataclass
+class Nodes:
+    """The tokens of all segments of several texts: the segment of each, and the edges."""
+
+    segment: np.ndarray
+    token: list[str]
+    a: np.ndarray
+    b: np.ndarray
+    kind: np.ndarray
+
+
+def nodes(found: list[list[Span]], skip: bool = True) -> Nodes:
+    """A token is joined to the first and to the last token before it that is equal, else similar, in its text: in a star, however often it comes, what one mention tells is two edges away."""
+    segment, token, ends = [], [], []
+    at = 0
     for row in found:
-        last: dict[tuple[int, str], int] = {}
+        seen: dict[tuple[int, str], tuple[int, int]] = {}
         for i, s in enumerate(row):
             if i:
-                a.append(at + i - 1)
-                b.append(at + i)
-                kind.append(0)
-            for w in s.links:  # to the last span with the word: a chain through all, however often it is repeated
-                if (j := last.get((s.sort, w))) is not None:
-                    a.append(at + j)
-                    b.append(at + i)
-                    kind.append(1)
-                last[s.sort, w] = i
+                ends.append((len(token) - 1, len(token), NEXT))
+            for j, t in enumerate(s.tokens):
+                me = len(token)
+                if j:
+                    ends.append((me - 1, me, INSIDE))
+                segment.append(at + i)
+                token.append(t)
+                if len(t) < 4 or not skip:
+                    continue
+                key = (s.sort, stem(t))
+                if before := seen.get(key):
+                    for other in {*before}:
+                        ends.append((other, me, EQUAL if token[other] == t else SIMILAR))
+                seen[key] = (before[0] if before else me, me)
         at += len(row)
-    return np.array(a, dtype="i8"), np.array(b, dtype="i8"), np.array(kind, dtype="i8")
-
-
-def propagate(scores: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray, pair: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Log beliefs of all spans after loopy max-product message passing; pair[kind] holds the potentials of two labels."""
-    if not len(a):
-        return scores
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    psi = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-    message = np.zeros((len(src), scores.shape[1]))
-    for _ in range(rounds):
-        belief = scores.copy()
-        np.add.at(belief, dst, message)
-        new = (psi + (belief[src] - message[back])[:, :, None]).max(axis=1)
-        new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    belief = scores.copy()
-    np.add.at(belief, dst, message)
-    return belief
+    e = np.array(ends, dtype="i8").reshape(-1, 3)
+    return Nodes(np.array(segment, dtype="i8"), token, e[:, 0], e[:, 1], e[:, 2])
+
+
+def propagate(scores: np.ndarray, net: Nodes, pair: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Log beliefs of all tokens, and beliefs of the two ends of each edge, after loopy sum-product messages; pair[kind] holds the potentials of two labels."""
+    a, b = net.a, net.b
+    psi = pair[net.kind]
+    forth, back = np.zeros((len(a), scores.shape[1])), np.zeros((len(a), scores.shape[1]))  # to b, to a
+
+    def beliefs() -> np.ndarray:
+        out = scores.copy()
+        np.add.at(out, b, forth)
+        np.add.at(out, a, back)
+        return out
+
+    def passed(x: np.ndarray, axis: int) -> np.ndarray:
+        top = x.max(axis=axis, keepdims=True)
+        out = (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+        return out - out.max(axis=1, keepdims=True)
+
+    for _ in range(rounds if len(a) else 0):
+        belief = beliefs()
+        to_b, to_a = passed(psi + (belief[a] - back)[:, :, None], 1), passed(psi + (belief[b] - forth)[:, None, :], 2)
+        forth, back = 0.5 * forth + 0.5 * to_b, 0.5 * back + 0.5 * to_a
+    belief = beliefs()
+    both = psi + (belief[a] - back)[:, :, None] + (belief[b] - forth)[:, None, :]
+    both = np.exp(both - both.max(axis=(1, 2), keepdims=True)) if len(a) else both
+    return belief, both / both.sum(axis=(1, 2), keepdims=True) if len(a) else both
 
 
 #: Labels that a candidate of each sort may get.
 ALLOWED = {EMAIL: (NONE, EMAIL), ADDRESS: (NONE, ADDRESS), PHONE: (NONE, PHONE, ID), NAME: (NONE, NAME)}
 
 
+def token_features(s: Span) -> list[list[str]]:
+    """The features of each token of a segment: where in it the token stands and, in names and addresses, what it is."""
+    last = len(s.tokens) - 1
+    out = []
+    for i, t in enumerate(s.tokens):
+        f = [f"at={s.sort},{'S' if not last else 'B' if not i else 'E' if i == last else 'I'}"]
+        if s.sort in (NAME, ADDRESS) and not s.lone:  # the name of a lone word is told by its other mentions alone
+            f.append(f"t={t}")
+        out.append(f)
+    return out
+
+
 @dataclass
 class Model:
     weights: dict[str, np.ndarray]
     pair: np.ndarray
     given: frozenset[str]
+    skip: bool = True
 
     def scores(self, found: list[Span]) -> np.ndarray:
-        out = np.full((len(found), len(LABELS)), -50.0)
-        zero = np.zeros(len(LABELS))
-        for i, s in enumerate(found):
-            total = zero
+        """The potential of each token: its own and its share of its segment's."""
+        zero, out = np.zeros(len(LABELS)), []
+        get = self.weights.get
+        for s in found:
+            shared = zero
             for f in s.features:
-                w = self.weights.get(f)
-                if w is not None:
-                    total = total + w
-            for k in ALLOWED[s.sort]:
-                out[i, k] = total[k]
-            if s.sure is not None and s.sort in (EMAIL,):
-                out[i, s.sure] += 20.0
-        return out
+                if (w := get(f)) is not None:
+                    shared = shared + w
+            shared = shared / len(s.tokens)
+            closed = CLOSED[s.sort]
+            for own in token_features(s):
+                total = shared + closed
+                for f in own:
+                    if (w := get(f)) is not None:
+                        total = total + w
+                out.append(total)
+        return np.array(out).reshape(-1, len(LABELS))
 
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
-        """(start, end, label) of the personal data of each text."""
+        """(start, end, label) of the personal data of each text; a segment has the label that its tokens believe in together."""
         found = [spans(t, self.given) if t else [] for t in texts]
         all_ = [s for row in found for s in row]
         if not all_:
             return [[] for _ in texts]
-        best = propagate(self.scores(all_), *edges(found), self.pair).argmax(axis=1)
+        net = nodes(found, self.skip)
+        belief, _ = propagate(self.scores(all_), net, self.pair)
+        belief -= belief.max(axis=1, keepdims=True)
+        together = np.zeros((len(all_), len(LABELS)))
+        np.add.at(together, net.segment, belief)
+        best = together.argmax(axis=1)
         out, at = [], 0
         for row in found:
             out.append([(s.start, s.end, int(best[at + i])) for i, s in enumerate(row) if best[at + i] != NONE])
@@ -268,12 +338,35 @@ class Model:
         return out
 
 
-def train(texts: list[str], given: Iterable[str], epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Weights of the field from the sure cases of the texts, by gradient steps on their conditional likelihood.
+CLOSED = {sort: np.array([0.0 if k in allowed else -50.0 for k in range(len(LABELS))]) for sort, allowed in ALLOWED.items()}
+
+
+def sure_cases(found: list[list[Span]], texts: list[str], names: frozenset[str], ordinary: Counter, often: int) -> None:
+    """What may be taken for granted in training. Names that end with an ordinary word are none; a lone word is a family
+    name if a sure name of its text ends with it, and nothing if it is ordinary or ends none."""
+    for row in found:
+        family = set()
+        for s in row:
+            if s.sort == NAME and not s.lone:
+                if "title=True" not in s.features:
+                    common = [ordinary[t] >= often for t in s.tokens]
+                    if common[-1] or (all(common[:-1]) and s.sure is None):
+                        s.sure = NONE
+                if s.sure == NAME:
+                    family.add(s.tokens[-1])
+        ends = {s.tokens[-1] for s in row if s.sort == NAME and not s.lone}
+        for s in row:
+            if s.lone:
+                t = s.tokens[0]
+                s.sure = NONE if ordinary[t] >= often else NAME if t in family else None if t in ends else NONE
+
 
-    Words that the texts often use in lower case are ordinary words: capitalized pairs that end with one are sure to
-    be no person. The potentials of pairs are the log ratios of how often sure labels meet to how often they would by
-    chance, bounded to [-1, 1] for neighbours and [0, 3] for equal labels along skip edges.
+def train(texts: list[str], given: Iterable[str], epochs: int = 30, rate: float = 0.5, decay: float = 1e-4, pair_decay: float = 0.01, joint: int = 12) -> Model:
+    """The potentials of the field from the sure cases of the texts.
+
+    The weights of features start from a fit of the segments by themselves; then all potentials, of features and of edges, ascend the
+    likelihood of the field: the gradient is what its messages expect with the sure labels given less what they expect
+    without. Words that the texts often use in lower case are ordinary words.
     """
     names = frozenset(n.lower() for n in given)
     texts = [t for t in texts if t]
@@ -290,70 +383,92 @@ def train(texts: list[str], given: Iterable[str], epochs: int = 30, rate: float
     if double:
         names -= double
         found = [spans(t, names) for t in texts]
-    for row in found:
-        for s in row:
-            if s.sort == NAME and "title=True" not in s.features:
-                common = [ordinary[t] >= often for t in s.tokens]
-                if common[-1] or (all(common[:-1]) and s.sure is None):
-                    s.sure = NONE
-    seen: Counter = Counter(f for row in found for s in row if s.sure is not None for f in s.features)
-    index = {f: i for i, (f, c) in enumerate(sorted(seen.items())) if c >= 2}
-    index = {f: i for i, f in enumerate(index)}
-    rows, cols, y, allowed = [], [], [], []
-    for row in found:
-        for s in row:
-            if s.sure is None:
-                continue
-            n = len(y)
-            # what made a case sure must not be all that is learnt of it: half of the cases don't show it
-            hide = ("given=", "title=", "initial=") if s.sort == NAME else ("near=", "w=", "b0=", "b1=", "b2=", "bb=") if s.sort == PHONE else ()
-            hidden = n % 2 == 1
-            for f in s.features:
-                if hidden and f.startswith(hide):
-                    continue
-                if f in index:  # known words and forms
-                    rows.append(n)
-                    cols.append(index[f])
-            y.append(s.sure)
-            allowed.append([k in ALLOWED[s.sort] for k in range(len(LABELS))])
+    sure_cases(found, texts, names, ordinary, often)
+    found = [row for row in found if row]
+    flat = [s for row in found for s in row]
+    own = [token_features(s) for s in flat]
+    seen: Counter = Counter(f for s, tokens in zip(flat, own) if s.sure is not None for f in (*s.features, *(f for t in tokens for f in t)))
+    index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= 2))}
+    net = nodes(found)
+    first = np.cumsum([0, *(len(s.tokens) for s in flat)])
+    # (segment or token, feature); what made a case sure must not be all that is learnt of it: half of the cases don't show it
+    seg, seg_f, tok, tok_f = [], [], [], []
+    for i, (s, tokens) in enumerate(zip(flat, own)):
+        hide = () if i % 2 == 0 or s.lone else ("given=", "title=", "initial=") if s.sort == NAME else ("near=", "w=", "b0=", "b1=", "b2=", "bb=") if s.sort == PHONE else ()
+        for f in s.features:
+            if f in index and not (hide and f.startswith(hide)):
+                seg.append(i)
+                seg_f.append(index[f])
+        for j, fs in enumerate(tokens):
+            for f in fs:
+                if f in index:
+                    tok.append(int(first[i]) + j)
+                    tok_f.append(index[f])
+    seg, seg_f, tok, tok_f = (np.array(x, dtype="i8") for x in (seg, seg_f, tok, tok_f))
+    closed = np.array([CLOSED[s.sort] for s in flat]).reshape(-1, len(LABELS))
+    size = np.diff(first).astype("f8")[:, None] if flat else np.ones((0, 1))
+    sure = np.array([-1 if s.sure is None else s.sure for s in flat], dtype="i8")
+    known = np.flatnonzero(sure >= 0)
+    target = np.eye(len(LABELS))[sure[known]] if len(known) else np.zeros((0, len(LABELS)))
     w = np.zeros((len(index), len(LABELS)))
-    if y:
-        r, c, target, mask = np.array(rows), np.array(cols), np.eye(len(LABELS))[y], np.array(allowed)
-        square = np.zeros_like(w)
-        for _ in range(epochs):
-            z = np.zeros((len(y), len(LABELS)))
-            np.add.at(z, r, w[c])
-            z = np.where(mask, z, -50.0)
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            g = np.zeros_like(w)
-            np.add.at(g, c, (target - p)[r])
-            g = g / len(y) - decay * w
-            square += g * g
-            w += rate * g / (np.sqrt(square) + 1e-8)
-    pair = np.zeros((2, len(LABELS), len(LABELS)))
-    meets = defaultdict(lambda: np.ones((len(LABELS), len(LABELS))))
-    flat = [s.sure for row in found for s in row]
-    for a, b, k in zip(*edges(found)):
-        if flat[a] is not None and flat[b] is not None:
-            meets[int(k)][flat[a], flat[b]] += 1
-    for k in (0, 1):
-        n = meets[k]
-        chance = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / n.sum()
-        ratio = np.log(n / chance)
-        pair[k] = np.clip(ratio, -1, 1) * 0.5 if k == 0 else np.diag(np.clip(np.diag(ratio), 0.5, 3))
+    pair = np.zeros((4, len(LABELS), len(LABELS)))
+    square, square_pair = np.zeros_like(w), np.zeros_like(pair)
+    owner = net.segment
+
+    def softmax(z: np.ndarray) -> np.ndarray:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def step(x: np.ndarray, g: np.ndarray, square: np.ndarray, rate: float) -> None:
+        square += g * g
+        x += rate * g / (np.sqrt(square) + 1e-8)
+
+    for _ in range(epochs if len(known) else 0):
+        z = closed.copy()
+        np.add.at(z, seg, w[seg_f])
+        np.add.at(z, owner[tok], w[tok_f])
+        miss = np.zeros_like(z)
+        miss[known] = target - softmax(z[known])
+        g = np.zeros_like(w)
+        np.add.at(g, seg_f, miss[seg])
+        np.add.at(g, tok_f, miss[owner[tok]])
+        step(w, g / len(known) - decay * w, square, rate)
+    many = np.bincount(net.kind, minlength=len(pair))
+    held = np.zeros((len(owner), len(LABELS)))  # where a label is given, the others are shut
+    given_label = sure[owner]
+    held[given_label >= 0] = -50.0
+    held[np.flatnonzero(given_label >= 0), given_label[given_label >= 0]] = 0.0
+    for _ in range(joint if len(known) else 0):
+        z = np.zeros_like(closed)
+        np.add.at(z, seg, w[seg_f])
+        z = (z / size)[owner] + closed[owner]
+        np.add.at(z, tok, w[tok_f])
+        (with_, both_with), (free, both_free) = (propagate(z + h, net, pair, 4) for h in (held, 0.0))
+        miss = softmax(with_) - softmax(free)
+        shared = np.zeros_like(closed)
+        np.add.at(shared, owner, miss)
+        g = np.zeros_like(w)
+        np.add.at(g, seg_f, (shared / size)[seg])
+        np.add.at(g, tok_f, miss[tok])
+        step(w, g / len(known) - decay * w, square, 0.2 * rate)
+        g = np.zeros_like(pair)
+        np.add.at(g, net.kind, both_with - both_free)
+        g += g.transpose(0, 2, 1)  # edges have no direction
+        step(pair, g / np.maximum(1, many)[:, None, None] - pair_decay * pair, square_pair, rate)
     return Model({f: w[i] for f, i in index.items()}, pair, names)
 
 
-def fit(rows: DataFrame, given_names: DataFrame, *, text: str = "content", name: str = "given_name", sample_rows: int = 20_000) -> Model:
-    """A model trained on at most sample_rows texts (chosen by their hash; all, if there are no more) and the given names."""
+def fit(rows: DataFrame, given_names: DataFrame, *, text: str = "content", name: str = "given_name", sample_rows: int = 20_000, most_names: int = 1_000_000) -> Model:
+    """A model trained on at most sample_rows texts (chosen by their hash; all, if there are no more) and the given names, at most most_names."""
     picked = rows.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") < 65_536))
     total = picked.count()
     rate = min(1.0, 1.2 * sample_rows / max(1, total))
     if rate < 1:
         picked = picked.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < int(rate * (1 << 40)))
     texts = sorted({r["t"] for r in picked.limit(sample_rows).collect()})
-    names = [r[0] for r in given_names.select(name).where(F.col(name).isNotNull()).limit(1_000_000).collect()]
+    names = [r[0] for r in given_names.select(name).where(F.col(name).isNotNull()).distinct().limit(most_names + 1).collect()]
+    if len(names) > most_names:
+        raise ValueError(f"more than {most_names} given names; raise most_names")
     return train(texts, names)
 
 

@@ -207,13 +207,41 @@ def test_insurance_numbers_are_found(corpus):
     assert [s.end - s.start for s in pii.spans("dni AB 123456 and passport 123456, then we ran step 123456", frozenset())] == [9, 6]
 
 
-def test_repeated_spans_agree():
+def test_repeated_tokens_agree():
+    found = [[pii.Span(0, 3, pii.NAME, [], None, ["vorel"]), pii.Span(9, 12, pii.NAME, [], None, ["vorel"])]]
     scores = np.array([[0.0, 0, 0, 0, 0, 3.0], [0.4, 0, 0, 0, 0, 0.0]])
-    pair = np.zeros((2, 6, 6))
-    pair[1] = np.eye(6) * 2
-    one = np.array([0]), np.array([1]), np.array([1])
-    assert pii.propagate(scores, *one, pair).argmax(axis=1).tolist() == [5, 5]
-    assert pii.propagate(scores, *(x[:0] for x in one), pair).argmax(axis=1).tolist() == [5, 0]
+    pair = np.zeros((4, 6, 6))
+    pair[pii.EQUAL] = np.eye(6) * 2
+    for skip, want in ((True, [5, 5]), (False, [5, 0])):
+        assert pii.propagate(scores, pii.nodes(found, skip), pair)[0].argmax(axis=1).tolist() == want
+
+
+def test_messages_on_a_tree_are_exact():
+    rng = np.random.default_rng(1)
+    scores, pair = rng.normal(size=(3, 6)), np.tile(rng.normal(size=(6, 6)), (4, 1, 1))
+    net = pii.Nodes(np.arange(3), ["a", "b", "c"], np.array([0, 1]), np.array([1, 2]), np.array([0, 2]))
+    joint = scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :] + pair[0][:, :, None] + pair[2][None, :, :]
+    p = np.exp(joint) / np.exp(joint).sum()
+    belief, both = pii.propagate(scores, net, pair, 40)
+    belief = np.exp(belief) / np.exp(belief).sum(axis=1, keepdims=True)
+    assert np.allclose(belief, [p.sum(axis=(1, 2)), p.sum(axis=(0, 2)), p.sum(axis=(0, 1))], atol=1e-6)
+    assert np.allclose(both[0], p.sum(axis=2), atol=1e-6)
+
+
+def test_skip_edges_carry_names_to_far_mentions(corpus):
+    """Without the skip edges lone mentions stay readable; with them they follow the full name, in one document only."""
+    rng = random.Random(8)
+    family = ["".join(rng.choice(["vor", "hal", "quin", "mel", "tar", "bosk"]) for _ in range(3)).capitalize() for _ in range(60)]
+    notes = [f"{rng.choice(['Nadia', 'Piotr', 'Dr.'])} {n} wrote the plan for step {k}. It was read twice, and later {n} was slow, and {n} signed it." for k, n in enumerate(family)]
+    other = [f"The {v} {w} took step {k}, and later {v} was slow, and {v} signed it." for k, (v, w) in enumerate([(v, w) for v in ("Vornak", "Tulmar", "Osprey") for w in ("Gateway", "Cache", "Store")] * 16)]
+    model = pii.train(corpus + notes + other + ["a gateway, a cache and a store are slow"] * 9, GIVEN)
+    equal = model.pair[pii.EQUAL]
+    assert equal[pii.NAME, pii.NAME] + equal[pii.NONE, pii.NONE] - 2 * equal[pii.NONE, pii.NAME] > 0.5
+    fresh = ["Dr. Zelmandra asked for it, as Ms. Zelmandra had. " + "Nothing else was said about the plan. " * 30 + "The Osprey Store was slow. In the end Zelmandra signed.", "Nothing was said. The Osprey Store was slow. In the end Zelmandra signed."]
+    count = lambda m: [sum(k == pii.NAME for _, _, k in marks) for marks in m.label(fresh)]
+    assert count(model) == [3, 0]
+    model.skip = False
+    assert count(model) == [2, 0]
 
 
 # Spam
