@@ -28,11 +28,11 @@ class Mix:
         self.documents, self.report = documents, report
 
 
-def mix_sources(rows: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, reach: float = 1.0, seed: int = 7, vocabulary: str = VOCABULARY, rows_per_window: int = 50_000) -> Mix:
+def mix_sources(rows: DataFrame, targets: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, reach: float = 0.5, seed: int = 7, vocabulary: str = VOCABULARY, rows_per_window: int = 50_000) -> Mix:
     """A mix in which each source of targets (source, target_weight, max_repeats) has its share of the tokens.
 
     total_tokens is the wanted size; null takes the largest at which sources of the part `reach` of the wanted weight can fill
-    their budgets: 1 is every source that has documents and may use them, less lets scarce sources run short.
+    their budgets: 1 is every source that has documents and may use them, less lets scarce sources repeat up to their cap and run short.
     A source that can't fill its budget within max_repeats gives all it may, and its reached share falls short.
     The quality weight is the share of letters and spaces in a text, at least 0.05.
     Documents of other or null sources, and those without a token, are not used; targets with a null or

@@ -76,17 +76,21 @@ def split_text(text: str, max_bytes: int, overlap_bytes: int, min_fill: float =
     """Byte ranges of the pieces of text.
 
     A piece has at most max_bytes (at least 4, the longest character). Its cut is the strongest boundary that
-    leaves it min_fill full, else the strongest of the earlier ones, else the last whole character. The next
-    piece starts at the boundary nearest to overlap_bytes before the cut, off by half an overlap at most, else at
-    a whole character there. The overlap is held under a quarter of max_bytes; negative ones are 0.
+    fills min_fill of what it can add, else the strongest of the earlier ones, else the last whole character. The next
+    piece starts at the boundary nearest to overlap_bytes before the cut, off by half an overlap and half of
+    what a piece adds at most, else at a whole character there. Any overlap below max_bytes is kept; one as large
+    leaves no room for anything new and is an error. Negative ones are 0.
     """
+    if max_bytes <= overlap_bytes and overlap_bytes > 0:
+        raise ValueError(f"an overlap of {overlap_bytes} bytes leaves no room in pieces of {max_bytes}")
     cp = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
     at = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))])
     total = int(at[-1])
     limit = max(4, max_bytes)
     if total <= limit:
         return [(0, total)]
-    overlap = min(max(0, overlap_bytes), limit // 4)
+    overlap = max(0, overlap_bytes)
+    slack = min(overlap // 2, (limit - overlap) // 2)
     strength = boundaries(cp)
     where = np.flatnonzero(strength)
     cuts, table = at[where], RangeMax(strength[where])
@@ -107,8 +111,9 @@ def split_text(text: str, max_bytes: int, overlap_bytes: int, min_fill: float =
 
     pieces, start, done = [], 0, 0
     while total - start > limit:
-        least = max(start + int(limit * min_fill), done + 1)
-        cut = strongest(least, start + limit) or strongest(max(start + 2 * overlap, done) + 1, start + limit)
+        first = max(start + overlap + slack, done) + 1
+        least = max(first, done + int((start + limit - done) * min_fill))
+        cut = strongest(least, start + limit) or strongest(first, start + limit)
         cut = cut or character(start + limit, done)
         if cut - start > limit:  # the next character doesn't fit behind the overlap
             start = done
@@ -117,7 +122,7 @@ def split_text(text: str, max_bytes: int, overlap_bytes: int, min_fill: float =
         done = cut
         if overlap:
             aim = cut - overlap
-            lo, hi = int(np.searchsorted(cuts, max(aim - overlap // 2, start + 1), "left")), int(np.searchsorted(cuts, aim + overlap // 2, "right"))
+            lo, hi = int(np.searchsorted(cuts, max(aim - slack, start + 1), "left")), int(np.searchsorted(cuts, min(aim + slack, cut), "right"))
             if lo < hi:
                 near = lo + int(np.argmin(np.abs(cuts[lo:hi] - aim)))
                 start = int(cuts[near])

@@ -125,7 +125,7 @@ def test_mix_reaches_its_shares(spark):
     rows += [(5000, "big", None), (5001, None, "x"), (5002, "tiny", "")]
     docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, source string, text string, uses int")
     targets = spark.createDataFrame([("big", 2.0, 1), ("mid", 1.0, 2), ("tiny", 1.0, 4), ("gone", 1.0, 3), ("none", 0.0, 1)], "source string, target_weight double, max_repeats int")
-    mix = mixing.mix_sources(docs, targets, rows_per_window=100)
+    mix = mixing.mix_sources(docs, targets, reach=1.0, rows_per_window=100)
     report = {r.source: r for r in mix.report.collect()}
     assert report["gone"].tokens == 0 and report["none"].tokens == 0
     for s, share in (("big", 0.5), ("mid", 0.25), ("tiny", 0.25)):
@@ -133,7 +133,7 @@ def test_mix_reaches_its_shares(spark):
     used = mix.documents.collect()
     most = {"big": 1, "mid": 2, "tiny": 4}
     assert all(r.uses <= most[r.source] for r in used) and len({r.doc_id for r in used}) == len(used)
-    again = mixing.mix_sources(docs, targets, rows_per_window=7).documents.collect()
+    again = mixing.mix_sources(docs, targets, reach=1.0, rows_per_window=7).documents.collect()
     assert {(r.doc_id, r.uses) for r in again} == {(r.doc_id, r.uses) for r in used}
     assert mixing.mix_sources(docs, targets.limit(0)).report.count() == 0
     assert mixing.mix_sources(docs.limit(0), targets).documents.count() == 0
@@ -149,9 +149,9 @@ def test_capped_sources_fall_short_and_say_so(spark):
 def test_scarce_sources_do_not_shrink_the_mix(spark):
     docs = spark.createDataFrame([(k, "a" if k < 2 else "b" if k < 100 else "c", "word " * 20) for k in range(200)], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 3), ("b", 2.0, 1), ("c", 1.0, 0)], "source string, target_weight double, max_repeats int")
-    whole = {r.source: r for r in mixing.mix_sources(docs, targets).report.collect()}
+    whole = {r.source: r for r in mixing.mix_sources(docs, targets, reach=1.0).report.collect()}
     assert whole["a"].most_uses == 3 and 0 < whole["b"].documents < 98 and whole["c"].documents == 0
-    part = {r.source: r for r in mixing.mix_sources(docs, targets, reach=0.5).report.collect()}
+    part = {r.source: r for r in mixing.mix_sources(docs, targets).report.collect()}
     assert part["a"].most_uses == 3 and part["a"].reached_share < part["a"].wanted_share and part["b"].documents == 98
 
 

@@ -35,7 +35,7 @@ def test_strengths():
     assert s[text.index("\r\n") + 1] == 0
 
 
-@pytest.mark.parametrize("limit,overlap", [(40, 0), (40, 10), (64, 500), (4, 3), (100, -5), (1, 0)])
+@pytest.mark.parametrize("limit,overlap", [(40, 0), (40, 10), (64, 50), (64, 63), (4, 3), (100, -5), (1, 0)])
 def test_round_trip_and_limits(limit, overlap):
     rng = random.Random(limit * 7 + overlap)
     for _ in range(60):
@@ -61,6 +61,17 @@ def test_overlap_is_about_as_asked():
         assert 50 <= b - c <= 150
 
 
+@pytest.mark.parametrize("asked", [300, 600, 900])
+def test_large_overlaps_are_kept(asked):
+    text = " ".join(f"word{i}" for i in range(2000))
+    pieces = split_text(text, 1000, asked)
+    assert rebuilt(text.encode(), pieces) == text.encode()
+    for (_, b), (c, _) in zip(pieces, pieces[1:]):
+        assert abs(b - c - asked) <= 20
+    with pytest.raises(ValueError):
+        split_text(text, 1000, 1000)
+
+
 def test_operator_on_odd_rows(spark):
     rows = [("1", "h", "x" * 50, "prose", 7), ("2", None, None, "prose", 7), ("3", "", "", "prose", 7), ("4", "h", "x" * 50, None, 7), ("5", "h", "é" * 40, "prose", 7), ("6", "h", "x" * 500, "unlimited", 7)]
     items = spark.createDataFrame(rows, "id string, label string, content string, content_type string, max_bytes int")
