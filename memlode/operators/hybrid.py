@@ -62,19 +62,24 @@ def diversify(scored: DataFrame, k: int, weight: float = DIVERSITY) -> DataFrame
     return scored.select("qid", "id", "score", "content").groupBy("qid").applyInPandas(pick, schema)
 
 
-def hybrid_search(text_leg: DataFrame, vector_leg: DataFrame, memories: DataFrame, queries: DataFrame, *, as_of: Column, k: int = 20, candidates: int = 160, half_life: float = HALF_LIFE_DAYS, diversity: float = DIVERSITY, entity_boost: float = 1.1) -> DataFrame:
-    """(qid, id, score, rank) of the best k memories of each query.
-
-    The legs are (qid, id, rank), cut by the caller after its filters; memories has id, project_id, created_at, content; queries has
-    qid, project (may be null) and entities (array, may be null). Either leg may be empty.
-    """
+def scored(text_leg: DataFrame, vector_leg: DataFrame, memories: DataFrame, queries: DataFrame, *, as_of: Column, half_life: float = HALF_LIFE_DAYS, entity_boost: float = 1.1) -> DataFrame:
+    """(qid, id, score, content): the fused ranks of both legs by age, project and entities of the query."""
     fused = fuse([(vector_leg, VECTOR_WEIGHT), (text_leg, TEXT_WEIGHT)])
     rows = fused.join(memories.select("id", "project_id", "created_at", "content"), "id").join(queries.select("qid", "project", "entities"), "qid")
     low = F.lower("content")
     known = F.coalesce(F.exists("entities", lambda e: low.contains(F.lower(e))), F.lit(False))
     score = decay(F.col("score"), F.col("created_at"), as_of, half_life)
     score = project_boost(score, F.col("project_id"), F.col("project")) * F.when(known, entity_boost).otherwise(1.0)
+    return rows.select("qid", "id", score.alias("score"), "content")
+
+
+def hybrid_search(text_leg: DataFrame, vector_leg: DataFrame, memories: DataFrame, queries: DataFrame, *, as_of: Column, k: int = 20, candidates: int = 160, half_life: float = HALF_LIFE_DAYS, diversity: float = DIVERSITY, entity_boost: float = 1.1) -> DataFrame:
+    """(qid, id, score, rank) of the best k memories of each query.
+
+    The legs are (qid, id, rank), cut by the caller after its filters; memories has id, project_id, created_at, content; queries has
+    qid, project (may be null) and entities (array, may be null). Either leg may be empty.
+    """
     from memlode.operators.search import best
 
-    kept = best(rows.select("qid", "id", score.alias("score"), "content"), candidates)
-    return diversify(kept, k, diversity)
+    rows = scored(text_leg, vector_leg, memories, queries, as_of=as_of, half_life=half_life, entity_boost=entity_boost)
+    return diversify(best(rows, candidates), k, diversity)

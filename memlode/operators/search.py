@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,23 +74,81 @@ def phrases(queries: DataFrame, qid: str, text: str, prefixes: bool = True, stop
     return exact.unionByName(found.where(F.octet_length("phrase") >= 3).withColumn("is_prefix", F.lit(True))) if prefixes else exact
 
 
+def folded(words_: Column) -> Column:
+    """Words without accents."""
+    return F.transform(words_, lambda w: F.translate(w, ACCENTED, PLAIN))
+
+
+def stems(vocabulary: DataFrame) -> DataFrame:
+    """(word, term): the Porter stem of each word."""
+    from memlode.functions.porter import stem
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(term=[stem(w) for w in batch["word"]])
+
+    return vocabulary.mapInPandas(run, "word string, term string")
+
+
+def term_counts(docs: DataFrame, *, id_col: str, text: str, keywords_col: str | None = None, stemmed: bool = False) -> DataFrame:
+    """(id, d, term, tf): the postings of each document with its length; null texts give none.
+
+    With keywords_col, a JSON array, its words are indexed too. Stemmed, accents are folded and words become their
+    Porter stems, each word of the vocabulary once.
+    """
+    t = words(F.col(text))
+    if keywords_col:
+        t = F.concat(t, F.coalesce(F.flatten(F.transform(F.from_json(keywords_col, "array<string>"), words)), F.array().cast("array<string>")))
+    terms = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), (folded(t) if stemmed else t).alias("t"))
+    counted = terms.select("id", F.size("t").alias("d"), F.explode("t").alias("term")).groupBy("id", "d", "term").agg(F.count("*").alias("tf"))
+    if not stemmed:
+        return counted
+    known = stems(counted.select(F.col("term").alias("word")).distinct())
+    return counted.withColumnRenamed("term", "word").join(known, "word").groupBy("id", "d", "term").agg(F.sum("tf").alias("tf"))
+
+
+def stemmed_phrases(wanted: DataFrame) -> DataFrame:
+    """wanted (qid, phrase, is_prefix) in the terms of a stemmed index."""
+    plain = wanted.select("qid", F.translate("phrase", ACCENTED, PLAIN).alias("word"), "is_prefix")
+    return plain.join(stems(plain.select("word").distinct()), "word").select("qid", F.col("term").alias("phrase"), "is_prefix").distinct()
+
+
+def score_postings(posted: DataFrame, wanted: DataFrame, n: int, mean: float) -> DataFrame:
+    """(qid, id, score) by BM25 of postings (id, d, term, tf) for wanted (qid, phrase, is_prefix); n documents of a mean length.
+
+    A phrase meets its postings by an equi-join on the term, a prefix by one on its first three characters. A prefix is one
+    phrase: its frequency sums over all words it starts.
+    """
+    total, mean = F.lit(float(n)), F.lit(float(mean or 1.0))
+    asked = wanted.select("phrase", "is_prefix").distinct()
+    exact = posted.join(asked.where(~F.col("is_prefix")).withColumn("term", F.col("phrase")), "term").select("phrase", "is_prefix", "id", "d", "tf")
+    heads = asked.where("is_prefix").withColumn("head", F.left("phrase", F.lit(3)))
+    started = posted.withColumn("head", F.left("term", F.lit(3))).join(heads, "head").where(F.col("term").startswith(F.col("phrase")))
+    started = started.groupBy("phrase", "is_prefix", "id", "d").agg(F.sum("tf").alias("tf"))
+    tf = exact.unionByName(started)
+    having = tf.groupBy("phrase", "is_prefix").agg(F.count("*").alias("n"))
+    parts = tf.join(having, ["phrase", "is_prefix"]).select("phrase", "is_prefix", "id", (idf(total, F.col("n")) * saturation(F.col("tf"), F.col("d"), mean)).alias("s"))
+    return parts.join(wanted, ["phrase", "is_prefix"]).groupBy("qid", "id").agg(F.sum("s").alias("score"))
+
+
 def bm25(docs: DataFrame, wanted: DataFrame, *, id_col: str, text: str) -> DataFrame:
     """(qid, id, score) of every document that some phrase of the query matches; null texts count as empty documents do not.
 
-    wanted has (qid, phrase, is_prefix). A prefix is one phrase: its frequency sums over all words it starts. Postings are cut
-    to the words that can match, by an equi-join on the first three characters, before anything is counted.
+    Only the terms that can match are counted: before the count, words meet the wanted ones by the equi-joins of score_postings.
     """
     terms = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text)).alias("t"))
     lengths = terms.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
-    total, mean = F.lit(float(lengths["n"])), F.lit(float(lengths["mean"] or 1.0))
-    heads = wanted.select("qid", "phrase", "is_prefix", F.left("phrase", F.lit(3)).alias("head"))
-    asked = heads.select("phrase", "is_prefix", "head").distinct()
     posted = terms.select("id", F.size("t").alias("d"), F.explode("t").alias("term")).withColumn("head", F.left("term", F.lit(3)))
-    hit = posted.join(asked, "head").where(F.when(F.col("is_prefix"), F.col("term").startswith(F.col("phrase"))).otherwise(F.col("term") == F.col("phrase")))
-    tf = hit.groupBy("phrase", "is_prefix", "id", "d").agg(F.count("*").alias("tf"))
-    having = tf.groupBy("phrase", "is_prefix").agg(F.count("*").alias("n"))
-    parts = tf.join(having, ["phrase", "is_prefix"]).select("phrase", "is_prefix", "id", (idf(total, F.col("n")) * saturation(F.col("tf"), F.col("d"), mean)).alias("s"))
-    return parts.join(heads.drop("head"), ["phrase", "is_prefix"]).groupBy("qid", "id").agg(F.sum("s").alias("score"))
+    asked = wanted.select("phrase", "is_prefix", F.left("phrase", F.lit(3)).alias("head")).distinct()
+    heads = asked.where("is_prefix").select("head").distinct()
+    rest = asked.where(~F.col("is_prefix")).join(heads, "head", "left_anti").select(F.col("phrase").alias("term")).distinct()
+    few = posted.join(heads, "head", "left_semi").unionByName(posted.join(rest, "term", "left_semi"))
+    return score_postings(few.groupBy("id", "d", "term").agg(F.count("*").alias("tf")), wanted, lengths["n"], lengths["mean"])
+
+
+def normalized(score: Column) -> Column:
+    """A BM25 score as a number from 0 to 1 that grows with it: s / (1 + s)."""
+    return F.greatest(score, F.lit(0.0)) / (1.0 + F.greatest(score, F.lit(0.0)))
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -161,6 +221,22 @@ def expand_query(query: str) -> list[dict]:
     return plan
 
 
+def run_plan(docs: DataFrame, plan: list[dict], *, id_col: str, text: str) -> DataFrame:
+    """(id, score): documents that some step of an expanded query matches, by the BM25 of its words, prefixes and synonyms plus one for each phrase or pair of near words."""
+    wanted = [(s["word"], s["kind"] == "prefix") for s in plan if s["kind"] in ("term", "prefix")]
+    asked = docs.sparkSession.createDataFrame([(1, *w) for w in dict.fromkeys(wanted)], "qid int, phrase string, is_prefix boolean")
+    folded_docs = docs.select(F.col(id_col).alias("id"), F.translate(F.lower(text), ACCENTED, PLAIN).alias("_c"))
+    by_words = bm25(folded_docs, asked, id_col="id", text="_c").select("id", "score")
+    whole = [s for s in plan if s["kind"] in ("phrase", "near")]
+    if not whole:
+        return by_words
+    # the words of a text are a column of their own, used by one projection: a filter would have them computed anew for every place
+    held = folded_docs.where("_c is not null").select("id", words(F.col("_c")).alias("t"))
+    met = [F.size(phrase_positions(F.col("t"), s["words"])) > 0 if s["kind"] == "phrase" else near(F.col("t"), *s["words"], s["distance"]) for s in whole]
+    extra = held.select("id", reduce(Column.__add__, [F.when(m, 1.0).otherwise(0.0) for m in met]).alias("score"))
+    return by_words.unionByName(extra).groupBy("id").agg(F.sum("score").alias("score")).where("score > 0")
+
+
 def substring_search(chunks: DataFrame, queries: DataFrame, *, id_col: str = "id", text: str = "content") -> DataFrame:
     """(qid, id, score): chunks that hold every term of a query as a substring in lower case, by BM25.
 
@@ -215,7 +291,8 @@ def snippet(content: str, terms: list[str], most: int = 300) -> str:
         return content
     half = most // 2
     places = sorted(p for ps in term_positions(content, terms).values() for p in ps)
-    centre = max(places, key=lambda p: (sum(abs(q - p) <= half for q in places), -p)) if places else half
+    around = [bisect_right(places, p + half) - bisect_left(places, p - half) for p in places]
+    centre = places[around.index(max(around))] if places else half
     start = max(0, min(centre - half, len(content) - most))
     end = min(len(content), start + most)
     while start > 0 and not content[start - 1].isspace() and centre - start < most:

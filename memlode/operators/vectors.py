@@ -1,4 +1,4 @@
-"""Exact nearest vectors of a set of queries: all rows against blocks of bounded size."""
+"""Exact nearest vectors of a set of queries, in blocks of bounded size that no driver loop builds."""
 
 from __future__ import annotations
 
@@ -10,66 +10,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memlode.session import partitions
 
-def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, vector: str, dims: int, k: int, floor: float | None = None, block: int = 8192) -> DataFrame:
-    """(qid, id, score, rank): of each query (id, vector) the k rows of the highest cosine, ties by id; itself excluded.
 
-    Queries travel to the tasks in blocks of at most `block` vectors; every task keeps its own best k of each query, so that the
-    shuffle carries k rows a query and task. Vectors of another length, null or without length take no part. Rows
-    whose cosine is not above floor are left out.
-    """
-    usable = lambda c: F.size(c) == dims
-    asked = queries.select(F.col(id_col).alias("qid"), F.col(vector).cast("array<double>").alias("v")).where(usable("v"))
-    names = asked.schema["qid"].dataType.simpleString()
-    data = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable("v"))
-    schema = f"qid {names}, id {names}, score double"
+class Best:
+    """The k highest scores of each query so far, ties by id; memory is k rows a query however many rows go by."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int | None, floor: float, inclusive: bool = False):
+        self.ids, self.q, self.k, self.floor, self.inclusive = ids, q, k, floor, inclusive
+        self.row = np.zeros(0, dtype="i8")
+        self.other, self.score = ids[:0], np.zeros(0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(ids), 4096):
+            part, own = x[at : at + 4096], ids[at : at + 4096]
+            s = self.q @ part.T
+            s[self.ids[:, None] == own[None, :]] = -np.inf
+            least = np.full(len(self.q), self.floor)
+            if self.k is not None and s.shape[1] > self.k:
+                least = np.maximum(least, np.partition(s, -self.k, axis=1)[:, -self.k])  # all that reach the k-th score go on
+            i, j = np.nonzero((s >= least[:, None]) & ((s >= self.floor) if self.inclusive else (s > self.floor)))
+            self.row, self.score = np.concatenate([self.row, i]), np.concatenate([self.score, s[i, j]])
+            self.other = np.concatenate([self.other, own[j]])
+            if self.k is not None:
+                order = np.lexsort((self.other, -self.score, self.row))
+                row = self.row[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                order = order[place < self.k]
+                self.row, self.other, self.score = self.row[order], self.other[order], self.score[order]
+
+    def table(self, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row].tolist(), kind), pa.array(self.other.tolist(), kind), pa.array(self.score)], names=["qid", "id", "score"])
+
+
+def units(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows whose vector is finite and not all zero."""
+    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    with np.errstate(all="ignore"):
+        n = np.sqrt((x * x).sum(1))
+    good = np.flatnonzero(np.isfinite(n) & (n > 0))
+    return np.array(batch.column("id").to_pylist())[good], x[good] / n[good, None]
+
+
+def scores(rows: DataFrame, queries: DataFrame, *, id_col: str, vector: str, dims: int, k: int | None, floor: float, inclusive: bool, block: int) -> DataFrame:
+    """(qid, id, score): of each query the k best rows of each task, or, without k, all of them above the floor."""
+    vectors = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dims))
+    asked, data = vectors(queries), vectors(rows)
+    kind = asked.schema["id"].dataType.simpleString()
+    out = f"qid {kind}, id {kind}, score double"
+    n = asked.count()
+    if n <= block:  # at most `block` vectors reach the driver and travel with the tasks; the rows are not shuffled
+        table = asked.toArrow().combine_chunks()
+        ids, q = units(table.to_batches()[0], dims) if table.num_rows else (np.zeros(0), np.zeros((0, dims)))
 
-    def against(ids: list, q: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept = None
+            best, of = Best(ids, q, k, floor, inclusive), None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                n = np.sqrt((x * x).sum(1))
-                own = batch.column("id").to_pylist()
-                s = q @ np.divide(x, n[:, None], where=n[:, None] > 0, out=np.zeros_like(x)).T
-                s[:, n == 0] = -np.inf
-                at = {v: i for i, v in enumerate(own)}
-                for i, qid in enumerate(ids):
-                    if qid in at:
-                        s[i, at[qid]] = -np.inf
-                top = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-                # ties at the edge: all that reach the k-th score go on
-                edge = np.take_along_axis(s, top, 1).min(axis=1)
-                i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s) & (s > (floor if floor is not None else -np.inf)))
-                kind = batch.schema.field("id").type
-                part = pa.table({"qid": pa.array([ids[a] for a in i], kind), "id": pa.array([own[b] for b in j], kind), "score": s[i, j]})
-                kept = part if kept is None else pa.concat_tables([kept, part])
-            if kept is not None:
-                yield from kept.to_batches()
-
-        return run
-
-    found = None
-    held, vectors = [], []
-
-    def flush(out):
-        q = np.array(vectors)
-        n = np.sqrt((q * q).sum(1, keepdims=True))
-        q = np.divide(q, n, where=n > 0, out=np.zeros_like(q))
-        part = data.mapInArrow(against(list(held), q), schema)
-        return part if out is None else out.unionByName(part)
-
-    for row in asked.toLocalIterator():  # one partition of queries at a time
-        held.append(row["qid"])
-        vectors.append(row["v"])
-        if len(held) == block:
-            found = flush(found)
-            held, vectors = [], []
-    if held:
-        found = flush(found)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], schema)
+                if batch.num_rows and len(ids):
+                    of = batch.schema.field("id").type
+                    best.add(*units(batch, dims))
+            if of is not None:
+                yield best.table(of)
+
+        return data.mapInArrow(run, out)
+    # every block of queries meets every stripe of rows in a cell: queries first, then the rows as a stream
+    blocks, stripes = -(-n // block), partitions(data)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), every(stripes).alias("s"), F.lit(0).alias("role"))
+    r = data.select("id", "v", every(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int").alias("s"), F.lit(1).alias("role"))
+    cells = q.unionByName(r).select("id", "v", (F.col("b") * stripes + F.col("s")).cast("int").alias("cell"), "role")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, held, of = None, None, [], None
+        for batch in batches:
+            cell, role = batch.column("cell").to_numpy(), batch.column("role").to_numpy()
+            edges = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (role[1:] != role[:-1]))) if len(cell) else []
+            for lo, hi in zip(edges, [*edges[1:], len(cell)]):
+                part, of = batch.slice(lo, hi - lo), batch.schema.field("id").type
+                if cell[lo] != now:
+                    if best is not None:
+                        yield best.table(of)
+                    now, best, held = cell[lo], None, []
+                if role[lo] == 0:
+                    held.append(units(part, dims))
+                elif held:
+                    if best is None:
+                        best = Best(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), k, floor, inclusive)
+                    best.add(*units(part, dims))
+        if best is not None:
+            yield best.table(of)
+
+    return cells.repartitionById(blocks * stripes, F.col("cell")).sortWithinPartitions("cell", "role").mapInArrow(meet, out)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, vector: str, dims: int, k: int, floor: float | None = None, block: int = 8192) -> DataFrame:
+    """(qid, id, score, rank): of each query (id, vector) the k rows of the highest cosine, ties by id; itself excluded.
+
+    Every task keeps its own best k of each query, so that the shuffle carries k rows a query and task. Up to `block` queries
+    travel with the tasks; more are cut into blocks, and every block meets every stripe of rows once. Vectors that are null, of another
+    length, not finite or all zero take no part. Rows whose cosine is not above floor are left out.
+    """
+    found = scores(rows, queries, id_col=id_col, vector=vector, dims=dims, k=k, floor=-np.inf if floor is None else floor, inclusive=False, block=block)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k)
+
+
+def above(rows: DataFrame, queries: DataFrame, *, id_col: str, vector: str, dims: int, threshold: float, block: int = 8192) -> DataFrame:
+    """(qid, id, score): all rows of a cosine of at least threshold with each query, itself excluded: a theta join in blocks."""
+    return scores(rows, queries, id_col=id_col, vector=vector, dims=dims, k=None, floor=threshold, inclusive=True, block=block)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlode.operators import curation, knowledge, store
-from memlode.operators.vectors import top_k
+from memlode.operators.vectors import above, top_k
 from memlode.plans.catalog import register
 from memlode.plans.core import LIVE, live
-from memlode.plans.retrieval import hundredth
+from memlode.plans.retrieval import HEX, USABLE, hundredth
 from memlode.sources.tables import table
 
 FUNCTIONAL = ("uses", "depends_on")
@@ -81,8 +81,6 @@ def dream_consolidate_cap(spark, d):
     return curation.consolidate(actions, curation.PRESETS["moderate"])
 
 
-HEX = "list_reduce(list_transform(string_split(lower(id), ''), lambda c: greatest(strpos('0123456789abcdef', c) - 1, 0)), lambda a, x: (a * 16 + x) % 100, 0) = 0"
-USABLE = f"SELECT id, content, embedding::DOUBLE[] AS v FROM {LIVE} WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
 
 
 def usable(spark, d):
@@ -99,11 +97,29 @@ def dream_near_candidates(spark, d):
     return near.select("qid", "id", F.round("score", 9).alias("similarity"))
 
 
-@register()
+def _contains_any(a: str, b: str) -> tuple[str, str]:
+    q = lambda w: "'" + w.replace("'", "''") + "'"
+    no = " OR ".join(f"contains({a}, {q(w)}) <> contains({b}, {q(w)})" for w in curation.NEGATIONS)
+    anti = " OR ".join(f"(contains({a}, {q(p)}) AND contains({b}, {q(r)})) OR (contains({a}, {q(r)}) AND contains({b}, {q(p)}))" for p, r in curation.OPPOSITES)
+    return no, anti
+
+
+_NO, _ANTI = _contains_any("lower(q.content)", "lower(m.content)")
+
+
+@register(f"""SELECT q.id, m.id AS other, round(list_cosine_similarity(q.v, m.v), 9) AS similarity, 0.6::DOUBLE AS confidence, CASE WHEN {_ANTI} THEN 'antonyms' ELSE 'negation' END AS reason
+    FROM (SELECT * FROM ({USABLE}) WHERE {HEX}) q JOIN ({USABLE}) m ON q.id <> m.id WHERE list_cosine_similarity(q.v, m.v) >= 0.7 AND list_cosine_similarity(q.v, m.v) < 0.995 AND (({_NO}) OR ({_ANTI}))""")
 def dream_contradictions(spark, d):
-    """Among the same candidates those that contradict each other at a threshold of 0.9."""
+    """All memories that contradict one whose id is divisible by 100, alike from 0.7 up to 0.995."""
     rows = usable(spark, d)
-    near = top_k(rows, rows.where(hundredth()), id_col="id", vector="embedding", dims=64, k=10, floor=0.5)
+    alike = above(rows, rows.where(hundredth()), id_col="id", vector="embedding", dims=64, threshold=0.7)
     texts = rows.select("id", "content")
-    pairs = near.select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("score").alias("similarity")).join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("content").alias("other_content")), "other")
-    return curation.contradictions(pairs, 0.9).select("id", "other", "similarity", "confidence", "reason")
+    pairs = alike.select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("score").alias("similarity")).join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("content").alias("other_content")), "other")
+    return curation.contradictions(pairs, 0.995).select("id", "other", F.round("similarity", 9).alias("similarity"), "confidence", "reason")
+
+
+@register(f"""SELECT q.id AS qid, m.id, round(list_cosine_similarity(q.v, m.v), 9) AS similarity FROM (SELECT * FROM ({USABLE}) WHERE {HEX}) q JOIN ({USABLE}) m ON q.id <> m.id WHERE list_cosine_similarity(q.v, m.v) >= 0.75""")
+def vector_theta_join(spark, d):
+    """All memories of a cosine of 0.75 or more with one whose id is divisible by 100."""
+    rows = usable(spark, d)
+    return above(rows, rows.where(hundredth()), id_col="id", vector="embedding", dims=64, threshold=0.75).select("qid", "id", F.round("score", 9).alias("similarity"))

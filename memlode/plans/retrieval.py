@@ -88,6 +88,35 @@ def phrase_near_search(spark, d):
     return rows.select("doc_id", F.size(search.phrase_positions(F.col("t"), ["so", "it"])).cast("long").alias("phrases"), search.near(F.col("t"), "broke", "migration", 4).alias("near"))
 
 
+#: What advanced_search looks for: a phrase, two near words and words with synonyms.
+ADVANCED = '"checks the" migration NEAR/4 broke deploy café'
+
+
+def _advanced_sql(d: str = TERMS.replace("lower(text)", f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')")) -> str:
+    plan = search.expand_query(ADVANCED)
+    wanted = " UNION ".join(f"SELECT 1 AS qid, '{s['word']}' AS phrase, {str(s['kind'] == 'prefix').lower()} AS is_prefix" for s in plan if s["kind"] in ("term", "prefix"))
+    return f"""SELECT id AS doc_id, round(sum(score), 9) AS score FROM (SELECT id, score FROM ({bm25_sql(wanted, d)}) UNION ALL
+      SELECT id, 1.0 FROM ({d}) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'checks' AND t[i + 1] = 'the')) > 0 UNION ALL
+      SELECT id, 1.0 FROM ({d}) WHERE len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'migration' AND (list_contains(t[greatest(i - 5, 1):i - 1], 'broke') OR list_contains(t[i + 1:i + 5], 'broke')))) > 0) GROUP BY id"""
+
+
+@register(_advanced_sql())
+def advanced_search(spark, d):
+    """A query of phrases, near words and synonyms, run over all documents."""
+    found = search.run_plan(table(spark, d, "documents"), search.expand_query(ADVANCED), id_col="doc_id", text="text")
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@register()
+def bm25_stemmed(spark, d):
+    """The titles of all sessions over live memories and their keywords, by Porter stems without accents; scores from 0 to 1."""
+    rows = live(spark, d, "content", "keywords")
+    posted = search.term_counts(rows, id_col="id", text="content", keywords_col="keywords", stemmed=True)
+    lengths = posted.select("id", "d").distinct().agg(F.count("*").alias("n"), F.avg("d").alias("mean")).first()
+    wanted = search.stemmed_phrases(search.phrases(titles(spark, d), "qid", "text", False))
+    return search.best(search.score_postings(posted, wanted, lengths["n"], lengths["mean"]), 5).withColumn("score", search.normalized(F.col("score")))
+
+
 def substring_queries(spark):
     return spark.createDataFrame(list(SUBSTRINGS), "qid int, query string")
 
@@ -128,6 +157,9 @@ def vector_topk(spark, d):
     return top_k(rows, rows.where("vec_id % 100 = 0"), id_col="vec_id", vector="embedding", dims=64, k=10)
 
 
+HEX = "list_reduce(list_transform(string_split(lower(id), ''), lambda c: greatest(strpos('0123456789abcdef', c) - 1, 0)), lambda a, x: (a * 16 + x) % 100, 0) = 0"
+USABLE = f"SELECT id, content, embedding::DOUBLE[] AS v FROM {LIVE} WHERE len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))"
+
 QUANT = "CASE WHEN hi > lo THEN (round((x - lo) * 255 / (hi - lo)))::SMALLINT ELSE 0::SMALLINT END"
 
 
@@ -187,15 +219,35 @@ def hundredth(column: str = "id"):
     return F.aggregate(digits, F.lit(0), lambda a, c: (a * 16 + F.greatest(F.instr(F.lit("0123456789abcdef"), c) - 1, F.lit(0))) % 100) == 0
 
 
-@register()
-def hybrid_search(spark, d):
-    """Every live memory whose id is divisible by 100 as a query over all live memories."""
+@register(f"""WITH v AS ({USABLE}), q AS (SELECT * FROM {LIVE} WHERE {HEX}),
+      vec AS (SELECT * FROM (SELECT q.id AS qid, m.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, m.v) DESC, m.id) AS rank
+        FROM (SELECT * FROM v WHERE {HEX}) q JOIN v m ON q.id <> m.id WHERE list_cosine_similarity(q.v, m.v) > 0.01) WHERE rank <= 80),
+      txt AS ({_best_sql(bm25_sql(phrases_sql("SELECT id AS qid, content AS text FROM q", False), MEMORY_TERMS), 80)}),
+      f AS (SELECT qid, id, sum(s) AS s FROM (SELECT qid, id, 0.7 / rank AS s FROM vec UNION ALL SELECT qid, id, 0.3 / rank FROM txt) GROUP BY qid, id HAVING sum(s) >= 0.05)
+    SELECT f.qid, f.id, round(f.s * exp(-ln(2) / 30 * greatest(0, coalesce((epoch_us({AS_OF}) - epoch_us(m.created_at)) / 86400e6, 0)))
+      * CASE WHEN q.project_id IS NULL OR q.project_id = '' THEN 1.0 WHEN m.project_id IS NULL OR m.project_id = '' THEN 1.1 WHEN m.project_id = q.project_id THEN 1.3 ELSE 1.0 END, 9) AS score
+    FROM f JOIN {LIVE} m ON m.id = f.id JOIN q ON q.id = f.qid""")
+def hybrid_scores(spark, d):
+    """Every live memory whose id is divisible by 100 as a query over all live memories: the fused scores before diversification."""
+    legs, rows, queries = _hybrid(spark, d)
+    return hybrid.scored(*legs, rows, queries, as_of=F.expr(AS_OF), entity_boost=1.0).select("qid", "id", F.round("score", 9).alias("score"))
+
+
+def _hybrid(spark, d):
     rows = live(spark, d, "project_id", "created_at", "content", "embedding")
     asked = rows.where(hundredth())
     by_vector = top_k(rows, asked, id_col="id", vector="embedding", dims=64, k=80, floor=0.01)
     by_text = search.best(search.bm25(rows, search.phrases(asked, "id", "content", False), id_col="id", text="content"), 80)
-    queries = asked.select(F.col("id").alias("qid"), F.col("project_id").alias("project"), F.slice(E.entity_tokens(F.col("content")), 1, 40).alias("entities"))
-    return hybrid.hybrid_search(by_text, by_vector, rows, queries, as_of=F.expr(AS_OF), k=10)
+    known = E.detect(asked.select(F.col("id").alias("qid"), F.col("content").alias("text")), _snapshot(spark, d)).groupBy("qid").agg(F.collect_list("entity").alias("entities"))
+    queries = asked.select(F.col("id").alias("qid"), F.col("project_id").alias("project")).join(known, "qid", "left")
+    return (by_text, by_vector), rows, queries
+
+
+@register()
+def hybrid_search(spark, d):
+    """The same queries, boosted by the entities of the snapshot and diversified: 10 memories each."""
+    legs, rows, queries = _hybrid(spark, d)
+    return hybrid.hybrid_search(*legs, rows, queries, as_of=F.expr(AS_OF), k=10)
 
 
 @register()
