@@ -69,7 +69,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Batches that p5 ingests at a time, in order of arrival; the index is opened anew for each round, as by another session.
-BATCHES_A_ROUND = 4
+BATCHES_A_ROUND = 6
 
 
 def p5_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
