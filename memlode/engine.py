@@ -11,7 +11,9 @@ from memlode.functions import text as T
 from memlode.functions.embed import HashingEmbedder
 from memlode.operators import content, curation, hybrid, knowledge, search, store
 from memlode.operators import entities as E
-from memlode.operators.vectors import top_k
+from memlode.operators import sessions as S
+from memlode.operators.vectors import above, top_k
+from memlode.session import cut
 from memlode.sources.importers import ingest
 from memlode.sources.schema import conform, schema
 
@@ -80,7 +82,9 @@ class Engine:
         asked = self.embedder.embed(queries.withColumn("qid", F.col("qid").cast("string")), "qid", "text")
         by_vector = top_k(vectors, asked, id_col="id", vector="embedding", dims=self.embedder.dims, k=4 * k, floor=0.01)
         by_text = search.best(search.bm25(rows, search.phrases(queries.withColumn("qid", F.col("qid").cast("string")), "qid", "text"), id_col="id", text="content"), 4 * k)
-        about = queries.select(F.col("qid").cast("string").alias("qid"), "project", F.slice(E.entity_tokens(F.col("text")), 1, 40).alias("entities"))
+        asked_as = queries.select(F.col("qid").cast("string").alias("qid"), "project", "text")
+        known = E.snapshot(rows.select(F.col("project_id").alias("name")), rows.withColumn("keywords", F.lit(None).cast("string")))
+        about = asked_as.join(E.detect(asked_as, known).groupBy("qid").agg(F.collect_list("entity").alias("entities")), "qid", "left").drop("text")
         return hybrid.hybrid_search(by_text, by_vector, rows, about, as_of=as_of, k=k)
 
     def index(self, rows: DataFrame, at: Column, source: str, how: str = "markdown", ttl_hours: int = 336) -> str:
@@ -93,7 +97,57 @@ class Engine:
         return group
 
     def chunks(self) -> DataFrame:
-        return self._read("content_chunks", schema("content_chunks").toDDL())
+        """The chunks that no later deletion names."""
+        gone = self._read("chunks_deleted", "id string")
+        return self._read("content_chunks", schema("content_chunks").toDDL()).join(gone, "id", "left_anti")
+
+    def delete_chunks(self, ids: DataFrame) -> None:
+        self._append(ids.select("id").distinct(), "chunks_deleted")
+
+    def evict(self, most: int, as_of: Column) -> int:
+        """Deletes expired chunks and the oldest beyond `most` characters; how many there were."""
+        gone = cut(content.evict(self.chunks(), most, as_of))
+        self.delete_chunks(gone)
+        return gone.count()
+
+    # Sessions, events and facts
+
+    def sessions(self) -> DataFrame:
+        log = self._read("sessions_log", "id string, seq long, project_id string, source string, source_session_id string, created_at timestamp, last_activity_at timestamp, ended_at timestamp")
+        return log.groupBy("id").agg(F.max_by(F.struct("project_id", "source", "source_session_id", "created_at", "last_activity_at", "ended_at"), "seq").alias("s")).select("id", "s.*")
+
+    def _put_sessions(self, rows: DataFrame) -> None:
+        seq = (self._read("sessions_log", "seq long").agg(F.max("seq")).first()[0] or 0) + 1
+        self._append(cut(rows.withColumn("seq", F.lit(seq).cast("long"))), "sessions_log")
+
+    def start_session(self, asked: DataFrame, at: Column) -> DataFrame:
+        """The open session of each asked (source, source_session_id, project_id), or a new one."""
+        found = cut(S.start_or_resume(self.sessions(), asked, at))
+        self._put_sessions(found.drop("resumed").withColumn("ended_at", F.lit(None).cast("timestamp")))
+        return found
+
+    def end_session(self, ids: DataFrame, at: Column) -> None:
+        self._put_sessions(S.end(self.sessions(), ids, at).join(ids.select("id").distinct(), "id", "left_semi"))
+
+    def record_events(self, rows: DataFrame) -> None:
+        """Appends events; columns that are missing get their defaults."""
+        self._append(conform(rows, "session_events"), "session_events")
+
+    def delete_events(self, ids: DataFrame) -> None:
+        self._append(ids.select("id").distinct(), "events_deleted")
+
+    def events(self) -> DataFrame:
+        return self._read("session_events", schema("session_events").toDDL()).join(self._read("events_deleted", "id string"), "id", "left_anti")
+
+    def add_facts(self, rows: DataFrame, at: Column) -> None:
+        """Adds facts (subject, predicate, object) that are not known yet."""
+        known = self.added_facts()
+        key = F.left(F.sha2(F.concat_ws("\u0001", F.lower("subject"), "predicate", F.lower("object")), 256), F.lit(32))
+        new = rows.select(key.alias("id"), F.lit(0).alias("n"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("project_id"), at.alias("valid_from"))
+        self._append(cut(knowledge.add_facts(known, new).join(known.select("id"), "id", "left_anti")), "kg_facts")
+
+    def added_facts(self) -> DataFrame:
+        return self._read("kg_facts", "id string, n int, subject string, predicate string, object string, confidence double, project_id string, valid_from timestamp")
 
     def search_chunks(self, queries: DataFrame, k: int = 3, source: str | None = None) -> DataFrame:
         """queries (qid, query): the best k chunks of each with their snippets, reranked by how near the terms are."""
@@ -103,12 +157,23 @@ class Engine:
 
     def facts(self, functional: tuple[str, ...] = ()) -> DataFrame:
         """The knowledge graph of the live memories with the validity of each fact."""
-        return knowledge.with_validity(knowledge.extract(self.memories(), id_col="id", text="content", time="created_at", project="project_id"), functional)
+        found = knowledge.extract(self.memories(), id_col="id", text="content", time="created_at", project="project_id")
+        return knowledge.with_validity(found.unionByName(self.added_facts()), functional)
 
     def curate(self, preset: str = "moderate", apply: bool = False) -> DataFrame:
-        """Proposed deletions of exact duplicates with their status; applied ones are deleted if apply."""
-        actions = curation.exact_duplicates(self.memories(), F.col("content_hash")).select("memory_id", "related_memory_id", F.lit("dedup").alias("action_type"), F.lit(1.0).alias("confidence"))
-        done = curation.consolidate(actions, curation.PRESETS[preset])
+        """Exact and near duplicates and contradictions of all memories with their status; applied deletions are made if apply, and the run is kept."""
+        rows, limits = self.memories(), curation.PRESETS[preset]
+        exact = curation.exact_duplicates(rows, F.col("content_hash")).select("memory_id", "related_memory_id", F.lit("dedup").alias("action_type"), F.lit(1.0).alias("confidence"))
+        vectors = self.embedder.embed(rows, "id", "content")
+        side = lambda p, c: rows.select(F.col("id").alias(p), F.col("content").alias(f"{c}content"), F.col("created_at").alias(f"{c}created_at"), F.col("content_hash").alias(f"{c}hash"))
+        alike = above(vectors, vectors, id_col="id", vector="embedding", dims=self.embedder.dims, threshold=0.7).where("qid < id")
+        pairs = cut(alike.select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("score").alias("similarity")).join(side("id", ""), "id").join(side("other", "other_"), "other").where("hash <> other_hash"))
+        near = curation.near_duplicates(pairs, limits.threshold).select("memory_id", "related_memory_id", F.lit("dedup").alias("action_type"), F.col("similarity").alias("confidence"))
+        against = curation.contradictions(pairs, limits.threshold).select(F.col("id").alias("memory_id"), F.col("other").alias("related_memory_id"), F.lit("contradiction").alias("action_type"), "confidence")
+        done = cut(curation.consolidate(exact.unionByName(near).unionByName(against), limits))
+        run = uuid.uuid4().hex
+        self._append(curation.report(done, rows.count()).withColumn("run_id", F.lit(run)), "dream_runs")
+        self._append(done.withColumn("run_id", F.lit(run)), "dream_actions")
         if apply:
             self.forget(done.where("status = 'applied'").select(F.col("memory_id").alias("id")))
         return done

@@ -206,6 +206,15 @@ def is_text(data: Column) -> Column:
     return F.is_valid_utf8(data) & ~data.contains("\u0000")
 
 
+def format_time(time: Column) -> Column:
+    """A timestamp as 2006-01-02 15:04, and in RFC 3339 by rfc3339."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm")
+
+
+def rfc3339(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
 def matches_intent(text: Column, intent: Column) -> Column:
     """Whether some word of the intent is a part of the text, in lower case."""
     low = F.lower(text)

@@ -54,6 +54,20 @@ def contradictions(pairs: DataFrame, threshold: float = PRESETS["moderate"].thre
     return pairs.where(alike & (no | anti)).withColumn("confidence", F.lit(0.6)).withColumn("reason", F.when(anti, "antonyms").otherwise("negation"))
 
 
+def near_duplicates(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(memory_id, related_memory_id, similarity) of pairs (id, other, similarity, created_at, other_created_at) from the threshold on: the newer one is proposed, each pair once."""
+    newer = F.struct("created_at", "id") > F.struct(F.col("other_created_at").alias("created_at"), F.col("other").alias("id"))
+    kept = pairs.where(F.col("similarity") >= threshold)
+    return kept.select(F.when(newer, F.col("id")).otherwise(F.col("other")).alias("memory_id"), F.when(newer, F.col("other")).otherwise(F.col("id")).alias("related_memory_id"), "similarity").distinct()
+
+
+def report(actions: DataFrame, analyzed: int) -> DataFrame:
+    """(memories_analyzed, exact, near, contradictions, proposed, applied) of actions (action_type, confidence, status)."""
+    is_ = lambda t: F.count_if(F.col("action_type") == t)
+    exact = F.count_if((F.col("action_type") == "dedup") & (F.col("confidence") == 1.0))
+    return actions.agg(F.lit(analyzed).alias("memories_analyzed"), exact.alias("exact"), (is_("dedup") - exact).alias("near"), is_("contradiction").alias("contradictions"), F.count("*").alias("proposed"), F.count_if(F.col("status") == "applied").alias("applied"))
+
+
 def consolidate(actions: DataFrame, preset: Preset) -> DataFrame:
     """actions (memory_id, action_type, confidence) with status: the deletions that the cap allows are applied, by confidence; contradictions are flagged.
 

@@ -58,6 +58,34 @@ def with_validity(found: DataFrame, functional: tuple[str, ...]) -> DataFrame:
     return found.withColumn("valid_to", F.when(F.col("predicate").isin(*functional), F.lead("valid_from").over(w)))
 
 
+def add_facts(known: DataFrame, new: DataFrame) -> DataFrame:
+    """The facts of known and new, new ones added where no current fact says the same of the same subject (in lower case).
+
+    Both are (id, n, subject, predicate, object, confidence, project_id, valid_from); what a functional predicate
+    replaces follows from with_validity.
+    """
+    same = ["_s", "predicate", "_o"]
+    keyed = lambda df: df.withColumns({"_s": F.lower("subject"), "_o": F.lower("object")})
+    fresh = keyed(new).join(keyed(known).select(*same).distinct(), same, "left_anti").dropDuplicates(same).drop("_s", "_o")
+    return known.unionByName(fresh.select(*known.columns))
+
+
+def star(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, predicates, triples): facts in normal form, ends and predicates by id."""
+    named = entities(found)
+    predicates = found.select(F.left(F.sha2("predicate", 256), F.lit(32)).alias("predicate_id"), F.col("predicate").alias("name")).distinct()
+    key = lambda c: F.left(F.sha2(F.lower(c), 256), F.lit(32))
+    triples_ = found.select("id", "n", key("subject").alias("subject_id"), F.left(F.sha2("predicate", 256), F.lit(32)).alias("predicate_id"), key("object").alias("object_id"), "confidence", "project_id", "valid_from")
+    return named, predicates, triples_
+
+
+def joined(named: DataFrame, predicates: DataFrame, triples_: DataFrame) -> DataFrame:
+    """Triples with the names of their subject, predicate and object: the star join."""
+    e = named.select("entity_id", "name")
+    rows = triples_.join(e.withColumnsRenamed({"entity_id": "subject_id", "name": "subject"}), "subject_id").join(e.withColumnsRenamed({"entity_id": "object_id", "name": "object"}), "object_id")
+    return rows.join(predicates.withColumnRenamed("name", "predicate"), "predicate_id").select("id", "n", "subject", "predicate", "object", "confidence", "project_id", "valid_from")
+
+
 def as_of(found: DataFrame, at: Column, known_at: Column | None = None) -> DataFrame:
     """Facts valid at a time; with known_at only those recorded by then (column txn_time)."""
     out = found.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))

@@ -13,6 +13,23 @@ def sessionize(events: DataFrame, key: str, time: str, gap: str = "30 minutes")
     return grouped.agg(F.min(time).alias("started"), F.max(time).alias("last_activity"), F.count("*").alias("message_count")).drop("w")
 
 
+def start_or_resume(sessions: DataFrame, asked: DataFrame, at: Column) -> DataFrame:
+    """(id, project_id, source, source_session_id, created_at, last_activity_at, resumed): the session of each asked (source, source_session_id, project_id).
+
+    The newest open session of that source and its id is resumed; where there is none a new one gets an id that follows from source, its id and time.
+    """
+    newest = sessions.where("ended_at is null").groupBy("source", "source_session_id").agg(F.max_by(F.struct("id", "project_id", "created_at"), F.struct("created_at", "id")).alias("_s"))
+    rows = asked.select("source", "source_session_id", F.col("project_id").alias("_p")).distinct().join(newest, ["source", "source_session_id"], "left")
+    fresh = F.left(F.sha2(F.concat_ws("\u0001", "source", "source_session_id", at.cast("string")), 256), F.lit(32))
+    return rows.select(F.coalesce("_s.id", fresh).alias("id"), F.coalesce("_s.project_id", "_p").alias("project_id"), "source", "source_session_id", F.coalesce("_s.created_at", at).alias("created_at"), at.alias("last_activity_at"), F.col("_s").isNotNull().alias("resumed"))
+
+
+def end(sessions: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
+    """sessions with ended_at set where they are among ids (id) and still open."""
+    asked = ids.select("id", F.lit(True).alias("_e")).distinct()
+    return sessions.join(asked, "id", "left").withColumn("ended_at", F.when(F.col("_e") & F.col("ended_at").isNull(), at).otherwise(F.col("ended_at"))).drop("_e")
+
+
 def active(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("ended_at").isNull())
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memlode.functions.text import ACCENTED, LOW_PREFIXES, NOISE, PLAIN, normalize_accents
+from memlode.functions.text import ACCENTED, LOW_PREFIXES, NOISE, PLAIN, format_time, normalize_accents, rfc3339
 from memlode.functions.tokenizer import load, tokenize
 from memlode.functions.embed import HashingEmbedder, from_cache
 from memlode.functions.words import words
@@ -123,20 +123,22 @@ def file_delta(spark, d):
 @register("SELECT DISTINCT content_hash FROM (SELECT sha256(content) AS content_hash FROM incoming_memories WHERE content IS NOT NULL)")
 def stream_dedupe(spark, d):
     stream = streams.source(spark, f"{d}/incoming_memories.parquet").where("content is not null").withColumn("content_hash", F.sha2("content", 256))
-    return streams.run(streams.deduplicated(stream.select("content_hash", "arrived_at"), ["content_hash"], "arrived_at", "3650 days")).select("content_hash").distinct()
+    return streams.run(streams.deduplicated(stream.select("content_hash", "arrived_at"), ["content_hash"], "arrived_at", "90 days")).select("content_hash")
 
 
 @register("SELECT event_type, date_trunc('day', ts) AS started, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, d):
     stream = streams.source(spark, f"{d}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    final = streams.run(stream, each=lambda df, n: df)
-    return final.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("started"), "n")
+    return streams.run_latest(streams.tumbling(stream, "event_type", "ts"), ["event_type", "started"])
 
 
-@register()
+@register("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+      g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+    SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM g GROUP BY user_id, g""")
 def stream_session_window(spark, d):
-    """Session windows that the watermark has passed."""
-    return streams.run(streams.windows(streams.source(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", delay="1 hour"))
+    """All session windows, open ones too: the complete result of the stream. In append mode windows come once the watermark has passed them."""
+    stream = streams.source(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.run_latest(streams.windows(stream, "user_id", "ts"), ["user_id", "started"], "complete")
 
 
 @register()
@@ -146,6 +148,22 @@ def token_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenize(vocabulary, F.col("text")).alias("t")).select("doc_id", "t.*")
 
 
+@register(f"SELECT id, strftime(created_at, '%Y-%m-%d %H:%M') AS shown, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM {SESSIONS}")
+def session_times(spark, d):
+    """When sessions were created, as lists and as exchange formats show it."""
+    return sessions(spark, d).select("id", format_time(F.col("created_at")).alias("shown"), rfc3339(F.col("created_at")).alias("stamp"))
+
+
+@register(f"""WITH n AS (SELECT source, source_session_id, max_by(id, struct_pack(a := created_at, b := id)) AS id FROM {SESSIONS} WHERE ended_at IS NULL GROUP BY ALL)
+    SELECT DISTINCT s.source, s.source_session_id, n.id IS NOT NULL AS resumed, n.id AS open_id FROM {SESSIONS} s LEFT JOIN n ON n.source = s.source AND n.source_session_id = s.source_session_id WHERE s.source IS NOT NULL AND s.source_session_id IS NOT NULL""")
+def session_resume(spark, d):
+    """Every session asked for again: the open one of its source, or a new one."""
+    rows = sessions(spark, d)
+    asked = rows.where("source is not null and source_session_id is not null").select("source", "source_session_id", F.lit(None).cast("string").alias("project_id"))
+    out = S.start_or_resume(rows, asked, F.lit("2026-01-01").cast("timestamp"))
+    return out.select("source", "source_session_id", "resumed", F.when(F.col("resumed"), F.col("id")).alias("open_id"))
+
+
 LIVE = "(SELECT DISTINCT ON (id) * FROM memories WHERE deleted_at IS NULL)"
 
 

@@ -62,6 +62,13 @@ def kg_query_alias(spark, d):
     return knowledge.one_hop(facts, asked).select("name", "id", "n", "subject", "predicate", "object")
 
 
+@register(f"""WITH t AS ({_triples_sql()}), e AS (SELECT lower(name) AS alias, min(name) AS name FROM (SELECT subject AS name FROM t UNION ALL SELECT object FROM t) GROUP BY 1)
+    SELECT t.id, t.n, s.name AS subject, t.predicate, o.name AS object FROM t JOIN e s ON s.alias = lower(t.subject) JOIN e o ON o.alias = lower(t.object)""")
+def kg_star_join(spark, d):
+    """Triples in normal form joined with their subjects, predicates and objects."""
+    return knowledge.joined(*knowledge.star(found(spark, d))).select("id", "n", "subject", "predicate", "object")
+
+
 DUPES = f"""SELECT id AS memory_id, o AS related_memory_id FROM (SELECT id, first_value(id) OVER (PARTITION BY sha256(content) ORDER BY created_at, id) AS o FROM {LIVE}) WHERE id <> o"""
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlode.functions.text import categorize, content_hash, front_matter, front_matter_category, front_matter_map, is_useful, redact_secrets
 
@@ -114,6 +119,73 @@ def ingest(rows: DataFrame, *, source: str, text: str = "content", project: str
     return out.withColumn("id", F.left(F.sha2(F.concat_ws("\u0001", F.coalesce("project_id", F.lit("")), "content_hash"), 256), F.lit(32)))
 
 
+def read_sqlite(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame:
+    """A table of a SQLite database, such as a chat tool's, on a path that every node sees; a table it lacks is empty.
+
+    One task reads it as a stream of batches: such a database is a single file of one machine.
+    """
+    names = [f.name for f in StructType.fromDDL(columns)]
+
+    def run(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        for _ in batches:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                if not db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (name,)).fetchone():
+                    return
+                cursor = db.execute(f'SELECT {", ".join(chr(34) + n + chr(34) for n in names)} FROM "{name}"')
+                while rows := cursor.fetchmany(10_000):
+                    yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(1).coalesce(1).mapInPandas(run, columns)
+
+
+def read_chat_database(spark: SparkSession, path: str) -> DataFrame:
+    """chat_messages of a chat tool's SQLite database, whose messages and parts are JSON."""
+    get = lambda t, c: read_sqlite(spark, path, t, c)
+    parts = get("part", "id string, message_id string, data string").select("id", "message_id", F.get_json_object("data", "$.type").alias("type"), F.get_json_object("data", "$.text").alias("text"))
+    return chat_messages(get("session", "id string, project_id string, directory string"), get("message", "id string, session_id string"), parts, get("project", "id string, worktree string"))
+
+
+def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content): the rules of JSON files, each an object with rules, a list of strings or of objects with a content."""
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rules = F.from_json(F.get_json_object("value", "$.rules"), "array<string>")
+    one = docs.select("file", F.explode(rules).alias("r"))
+    return one.select("file", F.trim(F.coalesce(F.get_json_object("r", "$.content"), F.col("r"))).alias("content")).where("content <> ''")
+
+
+@dataclass(frozen=True)
+class Source:
+    """A named source: when it was last changed, and how it is read as rows with a content."""
+
+    name: str
+    modified_at: Callable[[], datetime | None]
+    read: Callable[[], DataFrame]
+
+
+def run_imports(sources: list[Source], ledger: DataFrame, save: Callable[[str, DataFrame], int], now: Callable[[], datetime]) -> list[dict]:
+    """Imports the sources that are due, in order of their names, and gives the rows to append to the ledger.
+
+    A source that fails does not stop the others: its row has the status failed and the error, so that it is due again.
+    """
+    last = {r["source"]: r for r in ledger.groupBy("source").agg(F.max_by(F.struct("status", "finished_at"), "started_at").alias("l")).select("source", "l.*").collect()}  # a row a source
+    out = []
+    for source in sorted(sources, key=lambda s: s.name):
+        before, changed = last.get(source.name), source.modified_at()
+        if before and before["status"] == "done" and before["finished_at"] and not (changed and changed > before["finished_at"]):
+            continue
+        row = {"source": source.name, "started_at": now(), "status": "done", "memories_imported": 0, "error": None}
+        try:
+            row["memories_imported"] = save(source.name, source.read())
+        except Exception as failed:  # reported in the ledger
+            row |= {"status": "failed", "error": str(failed)[:1000]}
+        out.append(row | {"finished_at": now()})
+    return out
+
+
 def changed_files(found: DataFrame, indexed: DataFrame) -> DataFrame:
     """found (path, sha256) whose hash is new or differs from the indexed one."""
     old = indexed.select("path", F.col("sha256").alias("_old"))
