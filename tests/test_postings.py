@@ -75,3 +75,10 @@ def test_a_pair_of_query_and_document_is_no_row(spark, tmp_path, name):
     folder = store_of_notes(spark, tmp_path)
     out, moved = shuffled_rows(spark, lambda: catalog.queries()[name](spark, folder))
     assert out and moved < 60_000  # 400 titles times 1,500 memories that hold "debug" are 600,000
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_hybrid_legs_move_only_their_best(spark, tmp_path, name):
+    folder = store_of_notes(spark, tmp_path, memories=6000)
+    out, moved = shuffled_rows(spark, lambda: catalog.queries()[name](spark, folder))
+    assert out and moved < 200_000  # 60 memories times 6,000 that hold "debug" are 360,000
