@@ -77,7 +77,7 @@ def test_a_pair_of_query_and_document_is_no_row(spark, tmp_path, name):
     assert out and moved < 60_000  # 400 titles times 1,500 memories that hold "debug" are 600,000
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["hybrid_scores", "hybrid_search"])
 def test_hybrid_legs_move_only_their_best(spark, tmp_path, name):
     folder = store_of_notes(spark, tmp_path, memories=6000)
     out, moved = shuffled_rows(spark, lambda: catalog.queries()[name](spark, folder))
