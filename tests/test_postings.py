@@ -70,7 +70,7 @@ def store_of_notes(spark, folder, memories=1500, sessions=400):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bm25_multi_query", "bm25_stemmed", "bm25_prefix"])
+@pytest.mark.parametrize("name", ["bm25_multi_query", "bm25_stemmed", "bm25_prefix", "multi_query_first_hits"])
 def test_a_pair_of_query_and_document_is_no_row(spark, tmp_path, name):
     folder = store_of_notes(spark, tmp_path)
     out, moved = shuffled_rows(spark, lambda: catalog.queries()[name](spark, folder))
