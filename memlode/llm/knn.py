@@ -9,7 +9,6 @@ and leaves and may miss neighbours. Inside a shard, where looking costs no shuff
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,12 +162,10 @@ class Grid:
         p, a = (np.maximum(1, np.ceil(n / m)).astype("i8") for n, m in ((lives, shard_rows), (asks, 4 * shard_rows)))
         first = np.concatenate([[0], np.cumsum(p * a)])
         rows = np.repeat(lives / p + asks / a, p * a)
-        tasks = int(min(len(rows), max(least, np.ceil(rows.sum() / (4 * shard_rows)))))
-        task, load = np.zeros(len(rows), dtype="i4"), [(0.0, t) for t in range(tasks)]
-        for cell in np.argsort(-rows, kind="stable"):  # the largest first, each to the task with least
-            least_load, t = heapq.heappop(load)
-            task[cell] = t
-            heapq.heappush(load, (least_load + float(rows[cell]), t))
+        tasks = int(min(len(rows), max(least, np.ceil(rows.sum() / (16 * shard_rows)))))
+        # leaves beside one another share most of what asks in them: a task takes neighbours, and a vector goes to it once
+        middle = np.cumsum(rows) - rows / 2
+        task = np.minimum(tasks - 1, middle / max(1e-9, rows.sum()) * tasks).astype("i4")
         return Grid(p, a, first[:-1], task, tasks)
 
 
@@ -235,7 +232,7 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
     for counts, margin, of in ((lives, None, total), (asks, margins(floors(few)), asked)):
         for leaf, at in route(root, few, margin):
             counts[leaf] += len(at) * of / max(1, len(few))
-    grid = Grid.of(lives, asks, shard_rows, partitions(points))
+    grid = Grid.of(lives, asks, shard_rows, min(partitions(points), points.sparkSession.sparkContext.defaultParallelism))
 
     def send(live: bool, ask: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +257,17 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
                         to = at[~(live & (home[at] == leaf) & (block_p[at] == j))]  # there it is sent already, for both roles
                         out.append((to, grid.first[leaf] + j * grid.asks[leaf] + block_a[to] % grid.asks[leaf], np.zeros(len(to), dtype="?"), np.ones(len(to), dtype="?")))
                 at, cell, is_live, is_ask = (np.concatenate(c) for c in zip(*out))
-                got = batch.select(["key", "v"]).take(pa.array(at))
-                cols = [pa.array(grid.task[cell]), pa.array(cell.astype("i4")), pa.array(is_live), pa.array(is_ask), pa.array(floor[at]), *got.columns]
-                yield pa.RecordBatch.from_arrays(cols, names=["task", "cell", "lives", "asks", "floor", "key", "v"])
+                code = 4 * cell + 2 * is_live + is_ask
+                order = np.lexsort((code, grid.task[cell], at))
+                at, code, task = at[order], code[order], grid.task[cell[order]]
+                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (task[1:] != task[:-1]))) if len(at) else np.zeros(0, dtype="i8")
+                to = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype("i4")), pa.array(code.astype("i8")))
+                got = batch.select(["key", "v"]).take(pa.array(at[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(task[first]), to, pa.array(floor[at[first]]), *got.columns], names=["task", "to", "floor", "key", "v"])
 
         return run
 
-    schema = "task int, cell int, lives boolean, asks boolean, floor float, key binary, v binary"
+    schema = "task int, to array<bigint>, floor float, key binary, v binary"  # to: 4 * cell + 2 * lives + asks
     if asking is points:
         sent = points.mapInArrow(send(True, True), schema)
     else:
@@ -310,7 +311,9 @@ def neighbours(points: DataFrame, asking: DataFrame, *, k: int, dims: int, min_s
                     yield from answer()
         yield from answer()
 
-    placed = sent.repartitionById(grid.tasks, F.col("task")).sortWithinPartitions("cell", F.desc("lives"))
+    arrived = sent.repartitionById(grid.tasks, F.col("task")).select(F.explode("to").alias("code"), "floor", "key", "v")
+    cell, bit = F.shiftright("code", 2).cast("int"), lambda b: F.col("code").bitwiseAND(F.lit(b)) != 0
+    placed = arrived.select(cell.alias("cell"), bit(2).alias("lives"), bit(1).alias("asks"), "floor", "key", "v").sortWithinPartitions("cell", F.desc("lives"))
     found = placed.mapInArrow(cells, "q binary, p binary, similarity float")
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "p")))
     return ranked.where(F.col("_r") <= k).drop("_r")

@@ -66,6 +66,11 @@ def test_the_grid_is_even():
     assert load.max() < 1.3 * load.mean() and grid.tasks == len(load)
 
 
+def test_a_task_takes_leaves_beside_one_another():
+    grid = knn.Grid.of(np.tile([900.0, 100.0, 500.0], 8), np.tile([2000.0, 300.0, 700.0], 8), 1000, 6)
+    assert grid.tasks == 6 and (np.diff(grid.task) >= 0).all()  # so that a vector that asks in neighbours is sent once
+
+
 def test_relaxed_recall(spark, points):
     df = spark.createDataFrame(points, "id string, embedding array<float>")
     got = {(r.id, r.neighbour) for r in knn.knn(df, dims=16, min_similarity=0.9, relax=8.0, shard_rows=150).collect()}
