@@ -7,6 +7,7 @@ import pytest
 
 from memlode.functions.porter import stem
 from memlode.operators import search
+from memlode.operators.kept import Kept
 from memlode.operators.postings import best_hits
 from memlode.plans import catalog
 
@@ -82,3 +83,32 @@ def test_hybrid_legs_move_only_their_best(spark, tmp_path, name):
     folder = store_of_notes(spark, tmp_path, memories=6000)
     out, moved = shuffled_rows(spark, lambda: catalog.queries()[name](spark, folder))
     assert out and moved < 200_000  # 60 memories times 6,000 that hold "debug" are 360,000
+
+
+def test_a_query_of_its_own_common_words_sends_its_best_once(spark):
+    """Not the best by its common words and, beside them, the best with a rarer word."""
+    docs = [(i, [f"c{j}" for j in range(12) if (i >> j) % 2] + [f"r{i % 66}"]) for i in range(4096)]
+    pairs = [(a, b) for a in range(12) for b in range(a)]
+    asked = [(q, w, False) for q, (a, b) in enumerate(pairs) for w in (f"c{a}", f"c{b}", f"r{q}")]
+    df, wanted = spark.createDataFrame(docs, "id int, t array<string>").repartition(4), spark.createDataFrame(asked, "qid int, phrase string, is_prefix boolean")
+    out, moved = shuffled_rows(spark, lambda: best_hits(df, wanted, 20, common=100))
+    assert {(r.qid, r.rank): (r.id, r.score) for r in out if r.qid < 3} == brute(docs, [a for a in asked if a[0] < 3], 20)
+    assert moved - len(docs) < 9_000
+
+
+def test_kept_holds_only_the_best_and_the_documents_they_name():
+    rng = np.random.default_rng(2)
+    kept, every = Kept(9, 3, held=50), []
+    for block in range(40):
+        ids = [f"{(block * 30 + i) * 7919 % 10_007:05d}" for i in range(30)]
+        base = kept.documents(ids)
+        key, doc, score = rng.integers(0, 9, 60), rng.integers(0, 30, 60), rng.integers(0, 50, 60) / 10
+        pairs = np.unique(key * 30 + doc, return_index=True)[1]
+        key, doc, score = key[pairs], doc[pairs], score[pairs]
+        every += [(k, -s, ids[d]) for k, s, d in zip(key.tolist(), score.tolist(), doc.tolist())]
+        good = score >= kept.bound[key]
+        kept.add(key[good], base + doc[good], score[good])
+        kept.settle()
+        assert len(kept.ids) <= 27 + 50 + 30
+    key, doc, score = kept.hits()
+    assert sorted((k, -s, kept.ids[d]) for k, s, d in zip(key.tolist(), score.tolist(), doc.tolist())) == sorted(x for k in range(9) for x in sorted(e for e in every if e[0] == k)[:3])
